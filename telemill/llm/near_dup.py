@@ -5,8 +5,8 @@ minhashes. The table keys are all pairs (A_i, B_j): ``tables**2`` tables of ``2
 out of only ``2 * tables * rows`` minhash computations. A pair of sets of similarity s meets in some
 table with probability (1 - (1 - s**rows)**tables)**2, for the defaults 0.9994 at s = 0.8.
 
-Exact copies of a set are folded into one class first. In every bucket the smallest id is compared
-with the others (a star, never all pairs). The confirmed links give components; then only the members
+Exact copies of a set are folded into one class first. In every bucket one member, drawn by a
+hash of bucket and id, is compared with the others (a star, never all pairs). The confirmed links give components; then only the members
 that are still outside their bucket's first component are compared with the bucket's members of other
 components, each pair once: two sets meet in table (i, j) just if A_i and B_j both agree, so the first
 agreeing i and j name one bucket that is responsible for the pair. No bucket is capped, and links are
@@ -107,11 +107,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     table = F.array(*[F.struct(F.lit(i * tables + j).alias("t"), F.col("keys")[i].alias("x"), F.col("keys")[tables + j].alias("y")) for i in range(tables) for j in range(tables)])
     keyed = classes.select("id", "n", F.explode(table).alias("k")).select(F.xxhash64("k.t", "k.x", "k.y").alias("bucket"), "id", "n")
-    shared = written(keyed.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("most")).where("lead.id <> most").select("bucket", "lead"), "shared")
+    # every bucket draws its own leader by a hash, so a member of a large group is held against many different ones
+    drawn = F.min(F.struct(F.xxhash64("id", "bucket").alias("draw"), "id", "n")).alias("lead")
+    shared = written(keyed.groupBy("bucket").agg(drawn, F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("bucket", "lead"), "shared")
     members = written(keyed.join(shared, "bucket").select("bucket", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "members")
 
     size_fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    star = written(members.where("id <> lead").where(size_fits(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    star = written(members.where("id <> lead").where(size_fits(F.col("n"), F.col("lead_n"))).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "star")
     wanted = members.select("id").distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(wanted, "id")
     # copies of a class need no set of their own: only the texts of class ids are kept, one of each
