@@ -9,8 +9,9 @@ Exact copies of a set are folded into one class first. In every bucket one membe
 hash of bucket and id, is compared with the others (a star, never all pairs). The confirmed links give components; then only the members
 that are still outside their bucket's first component are compared with the bucket's members of other
 components, each pair once: two sets meet in table (i, j) just if A_i and B_j both agree, so the first
-agreeing i and j name one bucket that is responsible for the pair. No bucket is capped, and links are
-confirmed on full sets.
+agreeing i and j name one bucket that is responsible for the pair. Of these pairs, those whose 256-bit
+sketches lie more than five standard deviations beyond the wanted similarity are left out (chance of losing
+a true link: under one in a million). No bucket is capped, and links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -71,17 +72,41 @@ def signatures(docs: DataFrame, width: int, tables: int, rows: int) -> DataFrame
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, set_hash bigint, keys array<bigint>")
 
 
+SKETCH = 256
+
+
+def sketches(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(rows, SKETCH / 64): one bit each of SKETCH further minhashes; two sets of similarity s agree in (1 + s) / 2 of them."""
+    draw = np.random.default_rng(_SEED + 1)
+    times, plus = draw.integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1), draw.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
+    bits = np.zeros((len(at) - 1, SKETCH), np.uint8)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        for k in range(SKETCH):
+            v = sets * times[k]
+            v += plus[k]
+            bits[full, k] = mix(np.minimum.reduceat(v, at[:-1][full])) & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def most_apart(percent: int) -> int:
+    """Sketch bits that a pair at ``percent`` similarity differs in, five standard deviations up."""
+    p = (1 - percent / 100) / 2
+    return min(SKETCH, int(np.ceil(SKETCH * p + 5 * (SKETCH * p * (1 - p)) ** 0.5)))
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``(id, s)``: the sorted distinct shingle hashes of each row of ``docs(id, text)``."""
+    """``(id, s, sketch)``: the sorted distinct shingle hashes of each row of ``docs(id, text)``, and their sketch."""
 
     def run(batches):
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
             for lo, hi, hashes, at in blocks(text):
                 sets, to = shingles(hashes, at, width)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(sets.view(np.int64)))], ["id", "s"])
+                bits = pa.FixedSizeListArray.from_arrays(pa.array(sketches(sets, to).reshape(-1)), SKETCH // 64).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(sets.view(np.int64))), bits], ["id", "s", "sketch"])
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, s array<bigint>")
+    return docs.select("id", "text").mapInArrow(run, "id bigint, s array<bigint>, sketch array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -117,7 +142,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     wanted = members.select("id").distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(wanted, "id")
     # copies of a class need no set of their own: only the texts of class ids are kept, one of each
-    sets = written(shingle_sets(texts, shingle_words).groupBy(F.xxhash64("s").alias("h"), "id").agg(F.first("s").alias("s")).select("id", "s"), "sets")
+    sets = written(shingle_sets(texts, shingle_words).groupBy(F.xxhash64("s").alias("h"), "id").agg(F.first("s").alias("s"), F.first("sketch").alias("sketch")).select("id", "s", "sketch"), "sets")
     links = written(confirmed(star, sets, percent), "star_links")
     label = components(links)
 
@@ -125,14 +150,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     known = written(members.join(label, "id", "left").select("bucket", "id", "n", "lead", F.coalesce("label", "id").alias("label")), "known")
     mixed = written(known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("id") == F.col("lead"), F.col("label"))).alias("first")).where("low <> high").select("bucket", "first"), "mixed")
     open_ = known.join(mixed, "bucket").select("bucket", "id", "n", "lead", "label", "first")
-    open_ = written(open_.join(classes.groupBy("id").agg(F.first("keys").alias("keys")), "id"), "open")
-    x = open_.where("label <> first").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "label", "keys")])
-    y = open_.where("id <> lead").select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "label", "keys", "first")])
+    open_ = written(open_.join(classes.groupBy("id").agg(F.first("keys").alias("keys")), "id").join(sets.groupBy("id").agg(F.first("sketch").alias("sketch")), "id"), "open")
+    x = open_.where("label <> first").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "label", "keys", "sketch")])
+    y = open_.where("id <> lead").select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "label", "keys", "sketch", "first")])
     first_same = lambda lo: F.coalesce(*[F.when(F.col("x_keys")[k] == F.col("y_keys")[k], F.lit(k)) for k in range(lo, lo + tables)], F.lit(lo))
     i, j = first_same(0), first_same(tables)
     responsible = F.xxhash64((i * tables + (j - tables)).cast("int"), F.element_at("x_keys", i + 1), F.element_at("x_keys", j + 1)) == x.bucket
+    apart = sum((F.bit_count(F.col("x_sketch")[k].bitwiseXOR(F.col("y_sketch")[k])) for k in range(SKETCH // 64)), F.lit(0))
     once = (F.col("y_label") == F.col("y_first")) | (F.col("x_id") < F.col("y_id"))
-    rest = x.join(y, [x.bucket == y.bucket, F.col("x_label") != F.col("y_label"), size_fits(F.col("x_n"), F.col("y_n")), once, responsible])
+    rest = x.join(y, [x.bucket == y.bucket, F.col("x_label") != F.col("y_label"), size_fits(F.col("x_n"), F.col("y_n")), once, apart <= most_apart(percent), responsible])
     rest = written(rest.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(), "rest")
     more = written(confirmed(rest, sets, percent), "more_links")
     label = components(links.union(more))
