@@ -9,6 +9,11 @@ BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
 EARTH_KM = 6371.0088
 
 
+def _bound(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def _scaled(value: Column, low: float, width: float, bits: int) -> Column:
     top = (1 << bits) - 1
     return F.greatest(F.lit(0), F.least(F.lit(top), F.floor((value - low) / width * float(1 << bits)).cast("bigint")))
@@ -48,8 +53,8 @@ def geohash_bbox(cell: Column, precision: int) -> Column:
 
 
 def geohash_decode(cell: Column, precision: int) -> Column:
-    box = geohash_bbox(cell, precision)
-    return F.struct(((box["lat_lo"] + box["lat_hi"]) / 2).alias("lat"), ((box["lon_lo"] + box["lon_hi"]) / 2).alias("lon"))
+    middle = lambda b: F.struct(((b["lat_lo"] + b["lat_hi"]) / 2).alias("lat"), ((b["lon_lo"] + b["lon_hi"]) / 2).alias("lon"))
+    return _bound(cell, lambda c: _bound(geohash_bbox(c, precision), middle))
 
 
 def geohash_mask(lat: Column, lon: Column, precision: int = 5) -> Column:
@@ -59,11 +64,14 @@ def geohash_mask(lat: Column, lon: Column, precision: int = 5) -> Column:
 
 def geohash_neighbors(cell: Column, precision: int) -> Column:
     """The cells around, sorted; longitude wraps, and there are fewer at the poles."""
-    box = geohash_bbox(cell, precision)
-    dlat, dlon = box["lat_hi"] - box["lat_lo"], box["lon_hi"] - box["lon_lo"]
-    mid_lat, mid_lon = (box["lat_lo"] + box["lat_hi"]) / 2, (box["lon_lo"] + box["lon_hi"]) / 2
-    around = [geohash_encode(mid_lat + i * dlat, F.pmod(mid_lon + j * dlon + 180.0, F.lit(360.0)) - 180.0, precision) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
-    return F.array_sort(F.array_except(F.array_compact(F.array_distinct(F.array(*around))), F.array(cell)))
+
+    def around(box: Column) -> Column:
+        dlat, dlon = box["lat_hi"] - box["lat_lo"], box["lon_hi"] - box["lon_lo"]
+        lat, lon = (box["lat_lo"] + box["lat_hi"]) / 2, (box["lon_lo"] + box["lon_hi"]) / 2
+        places = F.array(*[F.struct((lat + i * dlat).alias("lat"), (F.pmod(lon + j * dlon + 180.0, F.lit(360.0)) - 180.0).alias("lon")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+        return F.transform(places, lambda p: geohash_encode(p["lat"], p["lon"], precision))
+
+    return _bound(cell, lambda c: F.array_sort(F.array_except(F.array_compact(F.array_distinct(_bound(geohash_bbox(c, precision), around))), F.array(c))))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -16,8 +16,8 @@ def with_shape(dead: DataFrame) -> DataFrame:
     """``shape`` and ``paths`` of each payload."""
     text = F.col("value").cast("string")
     v = F.when(text.rlike("^[{\\[]"), F.try_parse_json(F.when(F.is_valid_utf8(text), text)))
-    paths = F.when(v.isNotNull(), F.array_sort(F.array_distinct(flatten_paths(v))))
-    return dead.withColumn("paths", paths).withColumn("shape", F.when(F.col("paths").isNotNull(), json_shape(F.col("paths"))).otherwise(text_shape(F.col("value"))))
+    found = flatten_paths(dead.withColumn("_v", v), "_v", "_paths").withColumn("paths", F.when(F.col("_v").isNotNull(), F.array_sort(F.array_distinct("_paths")))).drop("_v", "_paths")
+    return found.withColumn("shape", F.when(F.col("paths").isNotNull(), json_shape(F.col("paths"))).otherwise(text_shape(F.col("value"))))
 
 
 def groups(dead: DataFrame) -> DataFrame:

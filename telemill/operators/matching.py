@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telemill.functions.geo import bearing, haversine_km
 from telemill.functions.text import name_tokens
@@ -168,12 +169,12 @@ def name_vector(path: str, width: int = 256) -> list[float]:
     return (out / size if size else out).tolist()
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def name_vectors(path: pd.Series) -> pd.Series:
     return path.map(name_vector)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 

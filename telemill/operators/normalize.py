@@ -17,18 +17,18 @@ def outcomes(raw: DataFrame, table: dict[str, Routes]) -> DataFrame:
 
     Each source has its own expression over its own rows, so no generated method holds all sources.
     """
-    shape = f"struct<event:{CANONICAL.simpleString()},error:{ERROR},version:int,attempt:int>"
+    # inferring constraints over hundreds of aliased columns takes the optimizer minutes, and no filter here gains from it
+    raw.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
     fits = F.length("value") <= MAX_PAYLOAD
-    parts = [raw.where((F.col("oem") == oem) & fits).withColumn("r", r.result(F.col("value"), F.col("key")).cast(shape)) for oem, r in table.items()]
-    none = F.lit(None).cast(CANONICAL)
+    parts = [r.read(raw.where((F.col("oem") == oem) & fits)) for oem, r in table.items()]
     size = F.concat(F.length("value").cast("string"), F.lit(" bytes"))
     error = F.when(~fits, F.struct(F.lit("OVERSIZE").alias("reason"), F.lit("").alias("field"), size.alias("detail"))).otherwise(F.struct(F.lit("NO_ADAPTER").alias("reason"), F.lit("").alias("field"), F.lit("no live mapping for this source").alias("detail")))
     rest = raw.where(~(fits & F.coalesce(F.col("oem").isin(*table), F.lit(False)))) if table else raw
-    parts.append(rest.withColumn("r", F.struct(none.alias("event"), error.alias("error"), F.lit(0).alias("version"), F.lit(0).alias("attempt")).cast(shape)))
+    parts.append(rest.select("*", F.lit(None).cast(CANONICAL).alias("event"), error.cast(ERROR).alias("error"), F.lit(0).alias("version"), F.lit(0).alias("attempt")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("*", "r.event", "r.error", "r.version", "r.attempt").drop("r")
+    return out
 
 
 @dataclass

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.values import MAX_TRANSFORMS, SpecError, Value, apply, coerce
@@ -41,28 +41,46 @@ class Spec:
     decoder: dict
     fields: tuple[tuple[str, str, tuple], ...]  # (canonical, path, transforms), required ones first
 
-    def result(self, payload: Column) -> Column:
-        """``struct(event, error)``: exactly one of them is set."""
-        got = decode(self.decoder, payload)
-        event: dict[str, Column] = {f.name: F.lit(None).cast(CANONICAL[f.name].dataType) for f in FIELDS}
-        faults = [F.when(F.length(payload) > MAX_PAYLOAD, _error("OVERSIZE", "", F.concat(F.length(payload).cast("string"), F.lit(" bytes")))), F.when(got.bad, _error("DECODE_ERROR", got.field, got.detail))]
-        for name, path, transforms in self.fields:
-            raw = got.get(path)
-            absent = raw.col.isNull() | (raw.col == "") if raw.items is None else (raw.col.isNull() & raw.items.isNull()) | (raw.col == "")
-            v: Value = raw
+    def read(self, rows: DataFrame, payload: str, at: str) -> DataFrame:
+        """``rows`` with ``<at>event`` and ``<at>error``, of which exactly one is set.
+
+        Each step is a column of its own stage: decoded object, source values, transformed values, faults. So an
+        expression is computed once however often it is used, and no tree grows with the number of fields.
+        """
+        own = list(rows.columns)
+        got = decode(self.decoder, F.col(payload), f"{at}d_")
+        for stage in got.stages:
+            rows = rows.withColumns(stage)
+        raws = {name: got.get(path) for name, path, _ in self.fields}
+        stage = {}
+        for name, v in raws.items():
+            stage[f"{at}r_{name}"] = v.col
+            if v.is_bool is not None:
+                stage[f"{at}q_{name}"], stage[f"{at}i_{name}"] = v.is_bool, v.items
+        rows = rows.withColumns(stage)
+        stage = {}
+        for name, _, transforms in self.fields:
+            v = raws[name]
+            typed = v.is_bool is not None
+            v = Value(F.col(f"{at}r_{name}"), "raw", F.lit(False), F.col(f"{at}q_{name}") if typed else None, F.col(f"{at}i_{name}") if typed else None)
+            absent = (v.col.isNull() & v.items.isNull()) | (v.col == "") if typed else v.col.isNull() | (v.col == "")
+            absent = F.coalesce(absent, F.lit(False))
             for t in transforms:
                 v = apply(v, t)
             v = coerce(v, BY_NAME[name].kind)
+            stage |= {f"{at}a_{name}": absent, f"{at}b_{name}": ~absent & v.bad, f"{at}f_{name}": F.when(~absent, v.col).cast(CANONICAL[name].dataType)}
+        rows = rows.withColumns(stage)
+        event = {f.name: F.col(f"{at}f_{f.name}") if f.name in raws else F.lit(None).cast(CANONICAL[f.name].dataType) for f in FIELDS}
+        rows = rows.withColumn(f"{at}wrong", validate(event))
+        faults = [F.when(F.length(payload) > MAX_PAYLOAD, _error("OVERSIZE", "", F.concat(F.length(payload).cast("string"), F.lit(" bytes")))), F.when(got.bad, _error("DECODE_ERROR", got.field, got.detail))]
+        for name, path, _ in self.fields:
             # a transform may give null: absent for an optional field, and INVALID for a required one
-            event[name] = F.when(~absent, v.col).cast(CANONICAL[name].dataType)
             if BY_NAME[name].required:
-                faults.append(F.when(absent, _error("SCHEMA_MISMATCH", name, f"source field '{path}' is missing")))
-            faults.append(F.when(~absent & v.bad, _error("TRANSFORM_ERROR", name, f"{path}: not convertible")))
-        wrong = validate(event)
+                faults.append(F.when(F.col(f"{at}a_{name}"), _error("SCHEMA_MISMATCH", name, f"source field '{path}' is missing")))
+            faults.append(F.when(F.col(f"{at}b_{name}"), _error("TRANSFORM_ERROR", name, f"{path}: not convertible")))
+        wrong = F.col(f"{at}wrong")
         faults.append(F.when(wrong.isNotNull(), F.struct(F.lit("INVALID").alias("reason"), wrong["field"].alias("field"), wrong["reason"].alias("detail"))))
-        error = F.coalesce(*faults)
-        row = F.struct(*[event[f.name].alias(f.name) for f in FIELDS])
-        return F.struct(row.alias("event"), error.alias("error"), F.lit(self.version).alias("version"))
+        return rows.select(*own, F.struct(*[event[f.name].alias(f.name) for f in FIELDS]).alias(f"{at}event"), F.coalesce(*faults).cast(ERROR).alias(f"{at}error"))
 
 
 def compile_spec(oem: str, version: int, spec: object) -> Spec:

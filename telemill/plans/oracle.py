@@ -20,7 +20,7 @@ TRUTH = f"""
 truth AS (
   SELECT user_id, ['nested','flat','pipe','signals','pairs'][user_id % 5 + 1] AS oem,
     substr({_BODY}, 1, 8) || ({check_digit(_BODY)}) || substr({_BODY}, 10) AS vin,
-    epoch_ms(ts) AS ts, event_id AS seq,
+    epoch_us(ts) // 1000 AS ts, event_id AS seq,
     ((user_id * 7919 + event_id * 104729) % 120000 - 60000) / 1000.0::DOUBLE AS lat,
     ((user_id * 104729 + event_id * 7919) % 300000 - 150000) / 1000.0::DOUBLE AS lon,
     value AS speed_kmh, event_id * 0.5::DOUBLE AS odo_km,
@@ -30,7 +30,7 @@ truth AS (
     CAST(event_id % 60 - 20 AS DOUBLE) AS ambient_c, event_id % 2 = 0 AS ignition,
     CASE WHEN event_id % 10 < 7 THEN CAST([] AS VARCHAR[]) WHEN event_id % 10 = 7 THEN ['P0420'] WHEN event_id % 10 = 8 THEN ['P0300','C1234'] ELSE ['B1000'] END AS dtc,
     CASE event_type WHEN 'signup' THEN 'IGNITION_ON' WHEN 'error' THEN 'HARSH_BRAKE' WHEN 'click' THEN 'HARSH_ACCEL' WHEN 'view' THEN 'SPEEDING' WHEN 'purchase' THEN 'LOW_SOC' END AS evt,
-    epoch_ms(ts) + CASE WHEN event_id % 37 = 0 THEN 3600000 ELSE 0 END + 250 AS rx
+    epoch_us(ts) // 1000 + CASE WHEN event_id % 37 = 0 THEN 3600000 ELSE 0 END + 250 AS rx
   FROM events),
 good AS (SELECT * FROM truth WHERE seq % 101 <> 0 AND seq % 211 <> 0 AND speed_kmh <= 320)
 """

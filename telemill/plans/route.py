@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.text import device_bucket
@@ -21,29 +21,38 @@ class Routes:
     canary: Spec | None = None
     canary_pct: int = 0
 
-    def result(self, payload: Column, device: Column) -> Column:
-        """``struct(event, error, version, attempt)`` of the first version that reads the payload.
+    def read(self, rows: DataFrame, payload: str = "value", device: str = "key") -> DataFrame:
+        """``rows`` with ``event, error, version, attempt`` of the first version that reads the payload.
 
         A canary goes first for its share of devices and last for the others. The first attempt's error is
         reported; an error that is not about the format ends the attempts.
         """
-        if self.canary is None or not self.active:
-            return self._chain([*self.active, *([self.canary] if self.canary else [])], payload)
-        early = device_bucket(device) < self.canary_pct
-        return F.when(early, self._chain([self.canary, *self.active], payload)).otherwise(self._chain([*self.active, self.canary], payload))
+        own = list(rows.columns)
+        specs = [*([self.canary] if self.canary else []), *self.active]
+        for s in specs:
+            rows = s.read(rows, payload, f"_v{s.version}_")
+        late = [*self.active, *([self.canary] if self.canary else [])]
+        if len(specs) == 1 or self.canary is None or not self.active:
+            got = self._chain(late)
+        else:
+            got = F.when(device_bucket(F.col(device)) < self.canary_pct, self._chain(specs)).otherwise(self._chain(late))
+        rows = rows.withColumn("_won", got)
+        event = F.coalesce(*[F.when(F.col("_won.version") == s.version, F.col(f"_v{s.version}_event")) for s in specs])
+        error = F.coalesce(*[F.when(F.col("_won.first") == s.version, F.col(f"_v{s.version}_error")) for s in specs])
+        fine = F.col("_won.version").isNotNull()
+        # one-row generator: a filter on the outcome stays above it, instead of being rewritten through every stage below
+        row = F.struct(event.alias("event"), F.when(~fine, error).alias("error"), F.coalesce("_won.version", "_won.first").alias("version"), F.col("_won.attempt").alias("attempt"))
+        return rows.select(*own, F.inline(F.array(row)))
 
-    def _chain(self, specs: list[Spec], payload: Column) -> Column:
-        tried = [s.result(payload) for s in specs]
+    @staticmethod
+    def _chain(specs: list[Spec]) -> Column:
+        """``struct(version, first, attempt)``: the version that read it, or null; the first one tried."""
         out = None
-        pack = lambda r, first, n: F.struct(r["event"].alias("event"), first["error"].alias("error"), first["version"].alias("version"), F.lit(n).alias("attempt"))
-        for n in range(len(tried) - 1, -1, -1):
-            r = tried[n]
-            fine = pack(r, r, n)
-            failed = pack(r, tried[0], n)
-            if out is None:
-                out = F.when(r["error"].isNull(), fine).otherwise(failed)
-            else:
-                out = F.when(r["error"].isNull(), fine).when(~r["error"]["reason"].isin(*FALLBACK), failed).otherwise(out)
+        for n in range(len(specs) - 1, -1, -1):
+            error = F.col(f"_v{specs[n].version}_error")
+            pack = lambda v, n=n: F.struct(v.alias("version"), F.lit(specs[0].version).alias("first"), F.lit(n).alias("attempt"))
+            failed, fine = pack(F.lit(None).cast("int")), pack(F.lit(specs[n].version))
+            out = F.when(error.isNull(), fine).otherwise(failed) if out is None else F.when(error.isNull(), fine).when(~error["reason"].isin(*FALLBACK), failed).otherwise(out)
         return out
 
 

@@ -42,6 +42,9 @@ def variant_at(v: Column, steps: list[str | int]) -> Column:
 
 @dataclass(frozen=True)
 class Decoded:
+    """``stages`` are columns to add one after the other, so each is computed once; the others refer to them by name."""
+
+    stages: tuple[dict[str, Column], ...]
     bad: Column  # DECODE_ERROR
     detail: Column
     field: str
@@ -71,20 +74,23 @@ def _map_getter(m: Column) -> Callable[[str], Value]:
     return get
 
 
-def _json(cfg: dict, payload: Column) -> Decoded:
+def _json(cfg: dict, payload: Column, at: str) -> Decoded:
     text = payload.cast("string")
-    v = F.try_parse_json(F.when(F.is_valid_utf8(text), text))
+    first = {f"{at}v": F.try_parse_json(F.when(F.is_valid_utf8(text), text))}
+    v = F.col(f"{at}v")
     pivot = cfg.get("pivot")
     if pivot is None:
-        return Decoded(v.isNull(), F.lit("not valid JSON"), "", _variant_getter(v))
+        return Decoded((first,), v.isNull(), F.lit("not valid JSON"), "", _variant_getter(v))
     if not isinstance(pivot, dict) or any(not isinstance(pivot.get(k), str) or not pivot[k] for k in ("path", "key", "value", "into")):
         raise SpecError("json.pivot needs string path, key, value and into")
-    items = variant_at(v, parse_path(pivot["path"])).try_cast("array<variant>")
+    second = {f"{at}items": variant_at(v, parse_path(pivot["path"])).try_cast("array<variant>")}
+    items = F.col(f"{at}items")
     key = lambda x: F.try_variant_get(x, _variant_path([pivot["key"]]), "string")
     has = lambda x: F.schema_of_variant(x).contains(pivot["value"])
     broken = F.coalesce(F.exists(items, lambda x: F.coalesce(key(x).isNull() | ~has(x), F.lit(True))), F.lit(True))
-    # pairs in order; a name is looked up from the end, so the last of equal names wins
-    pairs = F.reverse(items)
+    # a name is looked up from the end, so the last of equal names wins
+    pairs = F.col(f"{at}pairs")
+    third = {f"{at}pairs": F.reverse(items), f"{at}broken": broken}
 
     def get(path: str) -> Value:
         steps = parse_path(path)
@@ -97,7 +103,7 @@ def _json(cfg: dict, payload: Column) -> Decoded:
         kind, listed = F.schema_of_variant(own), own.try_cast("array<string>")
         return Value(F.when(kind.startswith("ARRAY"), F.to_json(listed)).otherwise(own.try_cast("string")), "raw", F.lit(False), F.coalesce(kind == "BOOLEAN", F.lit(False)), listed)
 
-    return Decoded(v.isNull() | broken, F.lit("bad signal list"), pivot["path"], get)
+    return Decoded((first, second, third), v.isNull() | F.col(f"{at}broken"), F.lit("bad signal list"), pivot["path"], get)
 
 
 def _quoted(sep: object, what: str) -> str:
@@ -106,13 +112,14 @@ def _quoted(sep: object, what: str) -> str:
     return "".join("\\" + c if not c.isalnum() and c.isascii() and not c.isspace() else c for c in sep)
 
 
-def _delimited(cfg: dict, payload: Column) -> Decoded:
+def _delimited(cfg: dict, payload: Column, at: str) -> Decoded:
     names = cfg.get("columns")
     sep = _quoted(cfg.get("delimiter"), "delimited.delimiter")
     if not isinstance(names, list) or not names or len(names) > 128 or not all(isinstance(c, str) and c for c in names):
         raise SpecError("delimited.columns must be a non-empty list of names")
     text = payload.cast("string")
-    parts = F.when(F.is_valid_utf8(text), F.split(F.regexp_replace(text, "[\\r\\n]+\\z", ""), sep, -1))
+    first = {f"{at}parts": F.when(F.is_valid_utf8(text), F.split(F.regexp_replace(text, "[\\r\\n]+\\z", ""), sep, -1))}
+    parts = F.col(f"{at}parts")
     place = {c: k for k, c in enumerate(names)}
 
     def get(path: str) -> Value:
@@ -121,19 +128,21 @@ def _delimited(cfg: dict, payload: Column) -> Decoded:
         return Value(col, "raw", F.lit(False))
 
     bad = F.coalesce(F.size(parts) != len(names), F.lit(True))
-    return Decoded(bad, F.concat(F.lit(f"expected {len(names)} columns, got "), F.coalesce(F.size(parts).cast("string"), F.lit("none"))), "", get)
+    return Decoded((first,), bad, F.concat(F.lit(f"expected {len(names)} columns, got "), F.coalesce(F.size(parts).cast("string"), F.lit("none"))), "", get)
 
 
-def _kv(cfg: dict, payload: Column) -> Decoded:
+def _kv(cfg: dict, payload: Column, at: str) -> Decoded:
     pair, sep = cfg.get("pair_sep", ";"), cfg.get("kv_sep", "=")
     quoted = _quoted(pair, "kv.pair_sep")
     _quoted(sep, "kv.kv_sep")
     text = payload.cast("string")
     clean = F.regexp_replace(F.regexp_replace(text, "^\\s+", ""), "\\s+\\z", "")
-    pairs = F.when(F.is_valid_utf8(text), F.filter(F.split(clean, quoted, -1), lambda p: p != ""))
+    first = {f"{at}pairs": F.when(F.is_valid_utf8(text), F.filter(F.split(clean, quoted, -1), lambda p: p != ""))}
+    pairs = F.col(f"{at}pairs")
     broken = F.coalesce(F.exists(pairs, lambda p: ~F.contains(p, F.lit(sep))), F.lit(True))
     entries = F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, sep, 1)).alias("k"), F.substr(p, F.call_function("locate", F.lit(sep), p) + len(sep), F.length(p) + 1).alias("v")))
-    back = F.reverse(entries)
+    second = {f"{at}back": F.reverse(entries), f"{at}broken": broken}
+    back = F.col(f"{at}back")
 
     def get(path: str) -> Value:
         steps = parse_path(path)
@@ -141,7 +150,7 @@ def _kv(cfg: dict, payload: Column) -> Decoded:
             return Value(F.lit(None).cast("string"), "raw", F.lit(False))
         return Value(F.try_element_at(F.filter(back, lambda e: e["k"] == steps[0]), F.lit(1))["v"], "raw", F.lit(False))
 
-    return Decoded(broken, F.lit("pair without separator"), "", get)
+    return Decoded((first, second), F.col(f"{at}broken"), F.lit("pair without separator"), "", get)
 
 
 def protobuf_to_json(descriptor_b64: str, message: str):
@@ -184,36 +193,41 @@ def protobuf_to_json(descriptor_b64: str, message: str):
     return run
 
 
-def _protobuf(cfg: dict, payload: Column) -> Decoded:
+def _protobuf(cfg: dict, payload: Column, at: str) -> Decoded:
     if not isinstance(cfg.get("descriptor_b64"), str) or not isinstance(cfg.get("message"), str):
         raise SpecError("protobuf needs descriptor_b64 and message")
-    v = F.try_parse_json(protobuf_to_json(cfg["descriptor_b64"], cfg["message"])(payload))
-    return Decoded(v.isNull(), F.lit("not such a message"), "", _variant_getter(v))
+    first = {f"{at}v": F.try_parse_json(protobuf_to_json(cfg["descriptor_b64"], cfg["message"])(payload))}
+    v = F.col(f"{at}v")
+    return Decoded((first,), v.isNull(), F.lit("not such a message"), "", _variant_getter(v))
 
 
 DECODERS = {"json": _json, "delimited": _delimited, "kv": _kv, "protobuf": _protobuf}
 
 
-def decode(cfg: object, payload: Column) -> Decoded:
-    """One of four whitelisted decoders."""
+def decode(cfg: object, payload: Column, at: str = "_d_") -> Decoded:
+    """One of four whitelisted decoders; ``at`` begins the names of its columns."""
     if not isinstance(cfg, dict) or cfg.get("type") not in DECODERS:
         raise SpecError(f"unknown decoder {cfg!r}")
-    return DECODERS[cfg["type"]](cfg, payload)
+    return DECODERS[cfg["type"]](cfg, payload, at)
+
+
+def flatten_paths(rows, variant: str, out: str, depth: int = 8):
+    """``rows`` with the leaf paths of a variant column, to ``depth``; a list of scalars is a leaf, of objects its first 8 items.
+
+    One stage a level, so no level's expression is repeated in the next.
+    """
+    is_object = lambda x: F.coalesce(F.schema_of_variant(x["v"]).startswith("OBJECT"), F.lit(False))
+    of_objects = lambda x: F.coalesce(F.schema_of_variant(x["v"]).startswith("ARRAY<OBJECT"), F.lit(False))
 
+    def children(x):
+        named = F.transform(F.map_entries(x["v"].try_cast("map<string,variant>")), lambda e: F.struct(F.when(x["path"] == "", e["key"]).otherwise(F.concat(x["path"], F.lit("."), e["key"])).alias("path"), e["value"].alias("v")))
+        listed = F.transform(F.slice(x["v"].try_cast("array<variant>"), 1, 8), lambda y, k: F.struct(F.concat(x["path"], F.lit("["), k.cast("string"), F.lit("]")).alias("path"), y.alias("v")))
+        return F.when(is_object(x), named).when(of_objects(x), listed).otherwise(F.array(F.struct(x["path"].alias("path"), x["v"].alias("v"))))
 
-def flatten_paths(v: Column, depth: int = 8) -> Column:
-    """Paths of the leaves of a variant object, to ``depth``; a list of scalars is a leaf, of objects its first 8 items."""
-    level = F.array(F.struct(F.lit("").alias("path"), v.alias("v")))
-    done = F.array().cast("array<string>")
+    rows = rows.withColumn("_level", F.array(F.struct(F.lit("").alias("path"), F.col(variant).alias("v"))))
     for _ in range(depth):
-        keys = lambda x: F.map_keys(x["v"].try_cast("map<string,variant>"))
-        is_object = lambda x: F.coalesce(F.schema_of_variant(x["v"]).startswith("OBJECT"), F.lit(False))
-        of_objects = lambda x: F.coalesce(F.schema_of_variant(x["v"]).startswith("ARRAY<OBJECT"), F.lit(False))
-        done = F.concat(done, F.transform(F.filter(level, lambda x: ~is_object(x) & ~of_objects(x)), lambda x: x["path"]))
-        from_objects = F.flatten(F.transform(F.filter(level, is_object), lambda x: F.transform(keys(x), lambda k: F.struct(F.when(x["path"] == "", k).otherwise(F.concat(x["path"], F.lit("."), k)).alias("path"), F.element_at(x["v"].try_cast("map<string,variant>"), k).alias("v")))))
-        from_lists = F.flatten(F.transform(F.filter(level, of_objects), lambda x: F.transform(F.slice(x["v"].try_cast("array<variant>"), 1, 8), lambda y, k: F.struct(F.concat(x["path"], F.lit("["), k.cast("string"), F.lit("]")).alias("path"), y.alias("v")))))
-        level = F.concat(from_objects, from_lists)
-    return F.filter(F.concat(done, F.transform(level, lambda x: x["path"])), lambda p: p != "")
+        rows = rows.withColumn("_level", F.flatten(F.transform("_level", children)))
+    return rows.withColumn(out, F.filter(F.transform("_level", lambda x: x["path"]), lambda p: p != "")).drop("_level")
 
 
 def detect_format(samples, oem: str = "oem", payload: str = "value"):
