@@ -105,7 +105,7 @@ def top_k(rows: DataFrame, key: str, k: int = 10) -> DataFrame:
 
 
 def approximate_top_k(rows: DataFrame, key: str, k: int = 10) -> DataFrame:
-    return rows.agg(F.approx_top_k(key, F.lit(k)).alias("top")).select(F.inline("top"))
+    return rows.agg(F.expr(f"approx_top_k({key}, {k})").alias("top")).select(F.inline("top"))
 
 
 def overview(outcomes: DataFrame, now_ms: int, seconds: int = 60) -> DataFrame:

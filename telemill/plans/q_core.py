@@ -38,13 +38,13 @@ def _good(spark, d):
 
 # ---- decoders: payload to fields, against the facts they were made from
 
-_FIELDS = {"nested": "fuel_pct, CAST(len(dtc) AS INT) AS codes", "flat": "fuel_pct, CAST(len(dtc) AS INT) AS codes", "pipe": "fuel_pct, CAST(len(dtc) AS INT) AS codes", "signals": "CAST(NULL AS DOUBLE) AS fuel_pct, CAST(NULL AS INT) AS codes", "pairs": "CAST(NULL AS DOUBLE) AS fuel_pct, CAST(nullif(len(dtc), 0) AS INT) AS codes"}
+_FIELDS = {"nested": "fuel_pct, CAST(len(dtc) AS DOUBLE) AS codes", "flat": "fuel_pct, CAST(nullif(len(dtc), 0) AS DOUBLE) AS codes", "pipe": "fuel_pct, CAST(nullif(len(dtc), 0) AS DOUBLE) AS codes", "signals": "CAST(NULL AS DOUBLE) AS fuel_pct, CAST(NULL AS DOUBLE) AS codes", "pairs": "CAST(NULL AS DOUBLE) AS fuel_pct, CAST(nullif(len(dtc), 0) AS DOUBLE) AS codes"}
 
 
 def _decode(dialect):
     def run(spark, d):
         e = normalize.canonical(normalize.outcomes(fixtures.raw_records(spark, d, (dialect,), False), fixtures.live_table((dialect,))), NOW)
-        return e.select("vin", "ts", "seq", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "speed_kmh", F.round("odo_km", 3).alias("odo_km"), F.round("fuel_pct", 4).alias("fuel_pct"), F.when(F.col("dtc").isNotNull(), F.size("dtc")).alias("codes"), "ignition", "evt")
+        return e.select("vin", "ts", "seq", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "speed_kmh", F.round("odo_km", 3).alias("odo_km"), F.round("fuel_pct", 4).alias("fuel_pct"), F.when(F.col("dtc").isNotNull(), F.size("dtc").cast("double")).alias("codes"), "ignition", "evt")
 
     sql = f"WITH {T} SELECT vin, ts, seq, round(lat, 6) AS lat, round(lon, 6) AS lon, speed_kmh, round(odo_km, 3) AS odo_km, {_FIELDS[dialect]}, ignition, evt FROM truth WHERE oem = '{dialect}' AND speed_kmh <= 320"
     query(f"decode_{dialect}", sql)(run)
@@ -59,12 +59,12 @@ def _flatten(spark, d):
     r = fixtures.raw_records(spark, d, ("nested", "flat"), False)
     v = F.try_parse_json(F.col("value").cast("string"))
     seq = F.coalesce(F.try_variant_get(v, "$.sequence", "bigint"), F.try_variant_get(v, "$.msg_no", "bigint"))
-    return r.select(seq.alias("seq"), F.size(decoders.flatten_paths(v)).alias("leaves"))
+    return decoders.flatten_paths(r.select(seq.alias("seq"), v.alias("v")), "v", "paths").select("seq", F.size("paths").alias("leaves"))
 
 
-@query("wire_detect", "SELECT * FROM (VALUES ('nested', 'json', NULL, NULL), ('flat', 'json', NULL, NULL), ('signals', 'json', NULL, NULL), ('pipe', 'delimited', '|', 15), ('pairs', 'kv', ';', NULL)) t(oem, type, separator, columns)")
+@query("wire_detect", "SELECT * FROM (VALUES ('nested', 'json', NULL, 0), ('flat', 'json', NULL, 0), ('signals', 'json', NULL, 0), ('pipe', 'delimited', '|', 15), ('pairs', 'kv', ';', 0)) t(oem, type, separator, columns)")
 def _detect(spark, d):
-    return decoders.detect_format(fixtures.raw_records(spark, d)).drop("samples")
+    return decoders.detect_format(fixtures.raw_records(spark, d)).drop("samples").withColumn("columns", F.coalesce("columns", F.lit(0)))
 
 
 @query("topic_parse", "SELECT event_id, 'src' || CAST(user_id % 5 AS VARCHAR) AS oem, CAST(user_id AS VARCHAR) AS dev FROM events WHERE event_id % 3 <> 0")
@@ -350,7 +350,7 @@ def _window(spark, d):
     return dedup.replay_outcomes(twice).select("vin", "seq", "off", "outcome")
 
 
-@query("latest_state", f"WITH {_ARR} SELECT vin, max_by(seq, ts * 1000000000 + off % 1000000000) AS seq, max(ts) AS ts, count(*) AS events FROM a GROUP BY vin")
+@query("latest_state", f"WITH {_ARR} SELECT vin, max_by(seq, CAST(ts AS HUGEINT) * 100000000000000000 + off) AS seq, max(ts) AS ts, count(*) AS events FROM a GROUP BY vin")
 def _latest(spark, d):
     return state.latest_state(_good(spark, d)).select("vin", "seq", "ts", "events")
 
