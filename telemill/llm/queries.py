@@ -116,8 +116,8 @@ p AS (SELECT doc_id, x, n FROM r WHERE k <= n - (n * 8 + 9) // 10 + 1),
 c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
 j AS (SELECT c.a, c.b, len(list_intersect(sa.s, sb.s)) AS shared, len(sa.s) + len(sb.s) AS total FROM c JOIN s sa ON sa.doc_id = c.a JOIN s sb ON sb.doc_id = c.b),
 e AS (SELECT a, b FROM j WHERE 100 * shared >= 80 * (total - shared) UNION SELECT b, a FROM j WHERE 100 * shared >= 80 * (total - shared)),
-reach(id, at) AS (SELECT a, b FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON reach.at = e.a),
-low AS (SELECT id, min(at) AS at FROM reach GROUP BY id)
-SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least(n.doc_id, coalesce(low.at, n.doc_id)) AS component_id, n.doc_id = least(n.doc_id, coalesce(low.at, n.doc_id)) AS kept
+reach(id, dst) AS (SELECT a, b FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON reach.dst = e.a),
+low AS (SELECT id, min(dst) AS first_id FROM reach GROUP BY id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least(n.doc_id, coalesce(low.first_id, n.doc_id)) AS component_id, n.doc_id = least(n.doc_id, coalesce(low.first_id, n.doc_id)) AS kept
 FROM n LEFT JOIN low ON low.id = n.doc_id
 """
