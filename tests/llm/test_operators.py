@@ -122,7 +122,6 @@ def test_targets_stop_at_three_times():
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     seen, rest = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
-    got = toxicity.toxicity(docs, seen).join(rest, "doc_id").select("toxic", rest.toxic.alias("y"))
     got = toxicity.toxicity(docs, seen).withColumnRenamed("toxic", "said").join(rest.select("doc_id", "toxic"), "doc_id").toPandas()
     assert ((got.said) & (got.toxic == 1)).sum() / (got.toxic == 1).sum() > 0.9
     assert ((got.said) & (got.toxic == 0)).sum() / (got.toxic == 0).sum() < 0.01
