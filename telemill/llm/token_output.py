@@ -10,8 +10,9 @@ reaches can hold it. A shard holds the ids of consecutive documents:
     documents:  for each document its first symbol, and its number of ids, uint32
 
 Re-Pair runs in batches: each round counts all adjacent pairs of the shard, gives the most frequent ones
-nonterminals and replaces them from left to right. Pairs never hold the end id, so every document begins
-at a symbol boundary and can be expanded alone; inside it, expansion lengths lead to any position.
+nonterminals and replaces them from left to right. The end id may also stand inside a text, so while it is
+compressed each document ends in a symbol of its own, outside the vocabulary, that no pair holds: every document
+begins at a symbol boundary and can be expanded alone; inside it, expansion lengths lead to any position.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ _CACHE_MOST = 400_000  # entries of each of an encoder's caches; they only save
 # ---- Re-Pair -------------------------------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, rounds: int = 4, per_round: int = 2048, least: int = 12, first_free: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """The compressed symbols, the rules (n, 2) and the first rule's symbol."""
+def compress(ids: np.ndarray, rounds: int = 4, per_round: int = 2048, least: int = 12, first_free: int | None = None, bar: int = END) -> tuple[np.ndarray, np.ndarray, int]:
+    """The compressed symbols, the rules (n, 2) and the first rule's symbol; no pair holds ``bar``."""
     seq = ids.astype(np.uint32)
     free = int(seq.max()) + 1 if first_free is None and len(seq) else (first_free or 0)
     rules: list[np.ndarray] = []
@@ -52,7 +53,7 @@ def compress(ids: np.ndarray, rounds: int = 4, per_round: int = 2048, least: int
         slot = left * np.uint32(2654435769)
         slot += right * np.uint32(2246822519)
         slot >>= np.uint32(32 - _SLOTS)
-        slot[(left == END) | (right == END)] = 0  # slot 0 is given up for pairs that may not be replaced
+        slot[(left == bar) | (right == bar)] = 0  # slot 0 is given up for pairs that may not be replaced
         often = np.bincount(slot, minlength=1 << _SLOTS) >= least
         often[0] = False
         places = np.flatnonzero(often[slot])
@@ -114,11 +115,13 @@ def expand(symbols: np.ndarray, rules: np.ndarray, free: int) -> np.ndarray:
 
 def pack(ids: np.ndarray, sizes: np.ndarray, first_free: int | None = None) -> bytes:
     """One shard of the file format; ``sizes`` are the documents' numbers of ids, each with its end id."""
-    seq, rules, free = compress(ids, first_free=first_free)
-    ends = np.flatnonzero(seq == END) + 1
-    # a document's own text never yields END as the tokenizer has no other use of it; pack() checks that
-    if len(ends) != len(sizes):
-        seq, rules, ends = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), np.cumsum(sizes)
+    last = np.cumsum(sizes) - 1
+    bar = max(int(ids.max()) + 1 if len(ids) else 0, first_free or 0)
+    marked = ids.astype(np.uint32)
+    marked[last] = bar
+    seq, rules, free = compress(marked, first_free=bar + 1, bar=bar)
+    ends = np.flatnonzero(seq == bar) + 1
+    seq[ends - 1] = ids[last]
     begins = np.concatenate([[0], ends[:-1]]).astype("<u4") if len(sizes) else np.zeros(0, "<u4")
     return b"".join([MAGIC, struct.pack("<5I", 1, len(rules), len(seq), len(sizes), free), rules.astype("<u4").tobytes(), seq.astype("<u4").tobytes(), rule_lengths(rules, free).astype("<u4").tobytes(), begins.tobytes(), np.asarray(sizes).astype("<u4").tobytes()])
 

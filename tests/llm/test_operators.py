@@ -101,6 +101,18 @@ def test_grammar_random_access():
         assert (s.document(k) == own).all() and (s.document(k, len(own) // 2, 3) == own[len(own) // 2 :][:3]).all()
 
 
+def test_grammar_with_the_end_id_inside_texts():
+    coder = token_output.encoder(tokenizer_path())
+    ids, sizes = coder.column(pa.array(['Es heisst hier"### nicht so. ' * 40, None, '"###', "plain words again " * 40]))
+    assert (ids == token_output.END).sum() > len(sizes)
+    s = token_output.Shard(token_output.pack(ids, sizes, coder.whole.get_vocab_size()))
+    assert len(s.rules) and len(s.seq) < len(ids) / 2 and (s.ids() == ids).all()
+    ends = np.cumsum(sizes)
+    for k in range(len(sizes)):
+        own = ids[ends[k] - sizes[k] : ends[k]]
+        assert (s.document(k) == own).all() and (s.document(k, len(own) // 2, 3) == own[len(own) // 2 :][:3]).all()
+
+
 def test_mixing(docs, odd, empty):
     got = mixing.mix_sources(docs).toPandas()
     assert len(got) == docs.count() and (got.taken <= 3 * got["size"]).all()
