@@ -1,8 +1,8 @@
 """URL filter: longest-match rules, and link-graph propagation for what no rule covers.
 
 Host edges come from the absolute links of the pages. Personalised PageRank from trusted hosts runs along the
-edges, distrust from blocked hosts against them. A host whose distrust exceeds its trust and the threshold
-is blocked. Edges are aggregated before they are used; each iteration is one join on the source host (a
+edges, distrust from blocked hosts against them. A host whose distrust exceeds its trust and the threshold,
+told in blocked pages and so free of the table's size, is blocked. Edges are aggregated before they are used; each iteration is one join on the source host (a
 sort-merge join that AQE may split) and one partially aggregated sum.
 """
 
@@ -44,8 +44,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return cut.select("src", host_of(full).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 10) -> DataFrame:
-    """``(host, trust, distrust)`` after ``iterations`` rounds; ``seeds(host, trust, distrust)`` are the teleport weights.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, floor: float = 1e-9) -> DataFrame:
+    """``(host, trust, distrust)``; ``seeds(host, trust, distrust)`` are the teleport weights.
+
+    Rounds go on until no host's figure changes by more than ``tolerance`` of itself; changes below ``tolerance * floor``
+    don't count. The rule looks at each host alone, so the rest of the graph doesn't end it early.
 
     Mass at hosts without links leaves the graph. Hosts that nothing reaches are absent.
     """
@@ -55,20 +58,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterati
     start = written(seeds.select("host", "trust", "distrust"), "seeds")
     if not weighted.limit(1).count():
         return start.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"))
-    rank = start
-    for k in range(iterations):
-        sent = weighted.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), F.when(F.col("forward"), damping * F.col("w") * F.col("trust")).otherwise(0.0).alias("trust"), F.when(~F.col("forward"), damping * F.col("w") * F.col("distrust")).otherwise(0.0).alias("distrust"))
-        kept = start.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"))
-        rank = written(sent.union(kept).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), f"rank{k}")
-    return rank
-
-
-def url_filter(pages: DataFrame, rules=RULES, threshold: float = 1e-6, damping: float = 0.85, iterations: int = 10) -> DataFrame:
+    rank, k, zero = start, 0, F.lit(0.0)
+    kept = start.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"), zero.alias("trust_before"), zero.alias("distrust_before"))
+    moved = lambda c: F.abs(F.col(c) - F.col(f"{c}_before")) > tolerance * F.greatest(F.col(c), F.lit(floor))
+    while True:
+        sent = weighted.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), F.when(F.col("forward"), damping * F.col("w") * F.col("trust")).otherwise(0.0).alias("trust"), F.when(~F.col("forward"), damping * F.col("w") * F.col("distrust")).otherwise(0.0).alias("distrust"), zero.alias("trust_before"), zero.alias("distrust_before"))
+        before = rank.select("host", zero, zero, "trust", "distrust")
+        both_rounds = written(sent.union(kept).union(before).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "trust_before", "distrust_before")]), f"rank{k}")
+        rank, k = both_rounds.select("host", "trust", "distrust"), k + 1
+        if not both_rounds.where(moved("trust") | moved("distrust")).limit(1).count():
+            return rank
+
+
+def url_filter(pages: DataFrame, rules=RULES, threshold: float = 1e-6, damping: float = 0.85, tolerance: float = 1e-3) -> DataFrame:
     """Per row of ``pages(page_id, url, html, ...)``: ``page_id, host, path, rule, verdict``.
 
     Hosts most of whose rule-judged pages are allowed are trusted seeds, those most of whose are blocked are blocked
     seeds, each weighted by its share of such pages. Pages without a rule get their host's verdict; a host that
-    distrust doesn't reach, and an empty host, is allowed. Null urls have empty host and path, null html has no link.
+    distrust doesn't reach, and an empty host, is allowed. ``threshold`` is distrust in blocked pages of the seeds. Null urls have empty host and path, null html has no link.
     Repeated rows repeat their result; an empty table gives an empty result.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
@@ -77,7 +84,8 @@ def url_filter(pages: DataFrame, rules=RULES, threshold: float = 1e-6, damping:
     votes = written(votes.where("yes + no > 0"), "votes")
     total = votes.agg(F.coalesce(F.sum(F.when(F.col("yes") > F.col("no"), F.col("yes"))), F.lit(1)).alias("y"), F.coalesce(F.sum(F.when(F.col("no") > F.col("yes"), F.col("no"))), F.lit(1)).alias("n")).first()
     seeds = votes.select("host", F.when(F.col("yes") > F.col("no"), F.col("yes") / float(total.y)).otherwise(0.0).alias("trust"), F.when(F.col("no") > F.col("yes"), F.col("no") / float(total.n)).otherwise(0.0).alias("distrust"))
-    rank = propagate(written(host_edges(pages), "host_edges"), seeds, damping, iterations)
-    blocked = written(rank.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") > threshold)).select("host", F.lit(True).alias("bad")), "blocked_hosts")
+    least = threshold / float(total.n)
+    rank = propagate(written(host_edges(pages), "host_edges"), seeds, damping, tolerance, least)
+    blocked = written(rank.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") > least)).select("host", F.lit(True).alias("bad")), "blocked_hosts")
     out = judged.where("judged is null").join(blocked, "host", "left").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("bad"), "block").otherwise("allow").alias("verdict"))
     return judged.where("judged is not null").select("page_id", "host", "path", "judged.rule", "judged.verdict").union(out)

@@ -227,3 +227,14 @@ def test_url_rules_and_distrust(spark):
     assert got[2].verdict == "block" and got[7].rule == "example.net/de/8"
     assert got[3].verdict == "allow" and got[4].verdict == "block" and got[4].rule is None
     assert (got[5].host, got[5].path, got[6].host) == ("", "", "")
+
+
+def test_url_distrust_is_free_of_size_and_reaches_far(spark):
+    link = '<a href="https://{}/x">x</a>'.format
+    schema = "page_id long, url string, html string"
+    chain = [(10 + k, f"http://h{k}.test/", link(f"h{k - 1}.test" if k else "shop.org")) for k in range(15)]
+    small = spark.createDataFrame([(1, "http://shop.org/es/1", ""), (2, "http://farm.test/", link("shop.org")), *chain], schema)
+    many = small.union(spark.range(400_000).selectExpr("id + 1000", "'http://big.org/es/1'", "''"))
+    for pages in (small, many):
+        got = {r.page_id: r.verdict for r in url_filter.url_filter(pages).where("page_id < 1000").collect()}
+        assert set(got.values()) == {"block"} and len(got) == 17
