@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +114,25 @@ def append_audit(rows: list[dict], entry: dict) -> dict:
     return row
 
 
+def chained(entries: DataFrame) -> DataFrame:
+    """``entries(ts, actor, action, resource)`` in order of ts with ``id, prev_hash, hash``: one stream on an executor, as each hash needs the one before."""
+
+    def run(batches):
+        last: list[dict] = []
+        n = 0
+        for batch in batches:
+            out = []
+            for entry in batch.to_pylist():
+                row = append_audit(last, entry)
+                last, n = [row], n + 1
+                out.append({**row, "id": n})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    schema = pa.schema([("id", pa.int64()), ("ts", pa.int64()), *[(c, pa.string()) for c in ("actor", "action", "resource", "prev_hash", "hash")]])
+    rows = entries.select(F.col("ts").cast("long").alias("ts"), "actor", "action", "resource").repartition(1).sortWithinPartitions("ts")
+    return rows.mapInArrow(run, "id long, ts long, actor string, action string, resource string, prev_hash string, hash string")
+
+
 def verify_chain(audit: DataFrame) -> DataFrame:
     """Per entry whether it follows its predecessor and its own hash is right; parallel but for the one ordering."""
     w = Window.orderBy("id")
