@@ -74,15 +74,19 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
 
 
 def cosine_top_k(queries: DataFrame, known: DataFrame, k: int, most_rows: int = 100_000) -> DataFrame:
-    """Exact nearest known vectors of each query ``(qid, v)`` among ``known(kid, u)``; the query set is small and checked."""
-    if queries.limit(most_rows + 1).count() > most_rows:
-        raise ValueError("the query set is a stated small set")
+    """Exact nearest known vectors of each query ``(qid, v)`` among ``known(kid, u)``, in blocks of about ``most_rows`` queries."""
+    blocks = max(1, -(-queries.count() // most_rows))
     norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double")))
     dot = F.aggregate(F.zip_with("v", "u", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, y: s + y)
     q, d = queries.withColumn("qn", norm(F.col("v"))), known.withColumn("kn", norm(F.col("u")))
-    scored = d.crossJoin(F.broadcast(q)).select("qid", "kid", (dot / (F.col("qn") * F.col("kn"))).alias("score"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "kid")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = None
+    for block in range(blocks):
+        own = q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
+        scored = d.crossJoin(F.broadcast(own)).select("qid", "kid", (dot / (F.col("qn") * F.col("kn"))).alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = best if out is None else out.union(best)
+    return out
 
 
 def halves(cases: DataFrame, order: str) -> DataFrame:
