@@ -125,15 +125,13 @@ def shingles(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray
 
     A row with fewer words has its whole run as the only one; a row without words has none.
     """
-    if len(at) == 2 or not len(hashes):
-        width = max(1, min(width, len(hashes)))
     counts = np.diff(at)
     runs = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
     to = np.concatenate([[0], np.cumsum(runs)])
     total = np.full(len(hashes), np.uint64(width))
     for k in range(width):
         total *= _BASE
-        total[: len(hashes) - k] += hashes[k:]
+        total[: max(0, len(hashes) - k)] += hashes[k:]
     total = mix(total)
     row = np.repeat(np.arange(len(counts)), runs)
     out = total[np.arange(to[-1]) - to[row] + at[row]]
