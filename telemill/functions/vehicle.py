@@ -13,6 +13,7 @@ DTC_SCAN = "(?<![A-Z0-9])([PCBU][0-3][0-9A-F]{3})(?![A-Z0-9])"
 WEIGHTS = (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2)
 LETTERS = "ABCDEFGHJKLMNPRSTUVWXYZ"
 VALUES = "12345678123457923456789"
+MARK = "TMLL7"
 SYSTEMS = {"P": "powertrain", "C": "chassis", "B": "body", "U": "network"}
 
 
@@ -37,8 +38,9 @@ def with_check_digit(vin: Column) -> Column:
     return F.concat(F.substring(vin, 1, 8), check_digit(vin), F.substring(vin, 10, 8))
 
 
-def make_vin(maker: str, serial: Column, descriptor: str = "EV1A2", year: str = "T", plant: str = "A") -> Column:
-    return with_check_digit(F.concat(F.lit(f"{maker}{descriptor}0{year}{plant}"), F.lpad(F.pmod(serial, F.lit(1000000)).cast("string"), 6, "0")))
+def make_vin(maker: str, serial: Column) -> Column:
+    """A generated number: three characters of the maker, this library's mark, and eight digits of the serial number."""
+    return with_check_digit(F.concat(F.lit(maker + MARK + "0"), F.lpad(F.pmod(serial, F.lit(100_000_000)).cast("string"), 8, "0")))
 
 
 def is_valid_dtc(code: Column) -> Column:

@@ -14,16 +14,17 @@ _ALL = (1 << WINDOW) - 1
 
 
 def window_step(top: int | None, mask: int, seq: int) -> tuple[int, int, int]:
-    """(outcome, top, mask) after one sequence number."""
-    if top is None:
-        return NEW, seq, 1
-    ahead = seq - top
-    if ahead > 0:
-        return NEW, seq, (((mask << ahead) | 1) & _ALL if ahead < WINDOW else 1)
-    if -ahead >= WINDOW:
-        return STALE, top, mask
-    bit = 1 << -ahead
-    return (DUPLICATE, top, mask) if mask & bit else (NEW, top, mask | bit)
+    """(outcome, top, mask) after one sequence number. Bit k of ``mask`` says that ``top - k`` was seen.
+
+    The window first slides up to the number, if that is new to it; then the number's own bit decides.
+    """
+    newest = seq if top is None else max(top, seq)
+    slid = newest - top if top is not None else WINDOW
+    mask = (mask << slid) & _ALL if slid < WINDOW else 0
+    age = newest - seq
+    if age >= WINDOW:
+        return STALE, newest, mask
+    return DUPLICATE if mask >> age & 1 else NEW, newest, mask | 1 << age
 
 
 def replay_outcomes(events: DataFrame) -> DataFrame:

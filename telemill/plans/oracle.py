@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from telemill.functions.geo import BASE32
-from telemill.functions.vehicle import LETTERS, VALUES, WEIGHTS
+from telemill.functions.vehicle import LETTERS, MARK, VALUES, WEIGHTS
 
 _W = "[" + ",".join(map(str, WEIGHTS)) + "]"
 
@@ -13,7 +13,7 @@ def check_digit(vin: str) -> str:
     return f"CASE WHEN {total} % 11 = 10 THEN 'X' ELSE CAST(CAST({total} % 11 AS INT) AS VARCHAR) END"
 
 
-_BODY = "('1HGEV1A20TA' || lpad(CAST(user_id % 1000000 AS VARCHAR), 6, '0'))"
+_BODY = f"('7TM{MARK}0' || lpad(CAST(user_id % 100000000 AS VARCHAR), 8, '0'))"
 
 #: one row an event, before faults
 TRUTH = f"""

@@ -58,7 +58,7 @@ for _d in fixtures.DIALECTS:
 def _flatten(spark, d):
     r = fixtures.raw_records(spark, d, ("nested", "flat"), False)
     v = F.try_parse_json(F.col("value").cast("string"))
-    seq = F.coalesce(F.try_variant_get(v, "$.sequence", "bigint"), F.try_variant_get(v, "$.msg_no", "bigint"))
+    seq = F.coalesce(F.try_variant_get(v, "$.head.no", "bigint"), F.try_variant_get(v, "$.n", "bigint"))
     return decoders.flatten_paths(r.select(seq.alias("seq"), v.alias("v")), "v", "paths").select("seq", F.size("paths").alias("leaves"))
 
 
