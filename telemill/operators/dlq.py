@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.text import json_shape, text_shape
+from telemill.operators.lineage import cut
 from telemill.operators.normalize import outcomes
 from telemill.sources.decoders import flatten_paths
 
@@ -13,11 +14,14 @@ MOST_ATTEMPTS = 5
 
 
 def with_shape(dead: DataFrame) -> DataFrame:
-    """``shape`` and ``paths`` of each payload."""
+    """``shape`` and ``paths`` of each payload: the field paths of JSON, ``col0 ...`` of delimited text, none of the rest."""
     text = F.col("value").cast("string")
     v = F.when(text.rlike("^[{\\[]"), F.try_parse_json(F.when(F.is_valid_utf8(text), text)))
-    found = flatten_paths(dead.withColumn("_v", v), "_v", "_paths").withColumn("paths", F.when(F.col("_v").isNotNull(), F.array_sort(F.array_distinct("_paths")))).drop("_v", "_paths")
-    return found.withColumn("shape", F.when(F.col("paths").isNotNull(), json_shape(F.col("paths"))).otherwise(text_shape(F.col("value"))))
+    found = flatten_paths(dead.withColumn("_v", v), "_v", "_paths").withColumn("_json", F.when(F.col("_v").isNotNull(), F.array_sort(F.array_distinct("_paths")))).drop("_v", "_paths")
+    found = found.withColumn("shape", F.when(F.col("_json").isNotNull(), json_shape(F.col("_json"))).otherwise(text_shape(F.col("value"))))
+    columns = F.regexp_extract("shape", "(?s)^text:.:([0-9]+)$", 1).try_cast("int")
+    other = F.when(columns > 0, F.transform(F.sequence(F.lit(0), columns - 1), lambda k: F.concat(F.lit("col"), k.cast("string")))).otherwise(F.array().cast("array<string>"))
+    return found.withColumn("paths", F.coalesce("_json", other)).drop("_json")
 
 
 def groups(dead: DataFrame) -> DataFrame:
@@ -52,20 +56,17 @@ def similar_shapes(shapes: DataFrame, least: float = 0.6) -> DataFrame:
     return out.withColumn("similarity", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("similarity") >= least).select("oem", "a", "b", "similarity")
 
 
-def families(shapes: DataFrame, least: float = 0.6, rounds: int = 20) -> DataFrame:
+def families(shapes: DataFrame, least: float = 0.6) -> DataFrame:
     """``(oem, shape, family)``: components of similar shapes, named by their smallest shape; min-label rounds until nothing moves."""
     pairs = similar_shapes(shapes, least).select("oem", "a", "b")
-    both = pairs.union(pairs.select("oem", F.col("b").alias("a"), F.col("a").alias("b"))).persist()
-    label = shapes.select("oem", "shape").distinct().withColumn("family", F.col("shape"))
-    for _ in range(rounds):
+    both = cut(pairs.union(pairs.select("oem", F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = cut(shapes.select("oem", "shape").distinct().withColumn("family", F.col("shape")))
+    while True:
         near = both.join(label.select("oem", F.col("shape").alias("b"), "family"), ["oem", "b"]).groupBy("oem", F.col("a").alias("shape")).agg(F.min("family").alias("near"))
-        new = label.join(near, ["oem", "shape"], "left").select("oem", "shape", F.least("family", F.coalesce("near", "family")).alias("family"), F.col("family").alias("was"))
-        new = new.checkpoint() if label.sparkSession.sparkContext.getCheckpointDir() else new.persist()
-        moved = new.where("family <> was").limit(1).count()
+        new = cut(label.join(near, ["oem", "shape"], "left").select("oem", "shape", F.least("family", F.coalesce("near", "family")).alias("family"), F.col("family").alias("was")))
         label = new.drop("was")
-        if not moved:
-            break
-    return label
+        if not new.where("family <> was").limit(1).count():
+            return label
 
 
 def family_report(dead_groups: DataFrame, least: float = 0.6) -> DataFrame:

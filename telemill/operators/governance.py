@@ -6,9 +6,10 @@ import hashlib
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telemill.operators.ordered import numbered
 from telemill.plans.compile import compile_spec
 
 # fixed values: action -> (states it starts from, state it leads to), and who may take it
@@ -47,7 +48,7 @@ class Registry:
         self.rows.append(row)
         return row
 
-    def act(self, oem: str, version: int, action: str, actor_kind: str, canary_pct: int = 10, pass_rate: float | None = None) -> dict:
+    def act(self, oem: str, version: int, action: str, actor_kind: str, canary_pct: int = 100, pass_rate: float | None = None) -> dict:
         row = next((r for r in self.rows if (r["oem"], r["version"]) == (oem, version)), None)
         if row is None or action not in TRANSITIONS:
             raise ValueError("no such version or action")
@@ -58,8 +59,12 @@ class Registry:
             raise ValueError(f"cannot {action} from {row['state']}")
         if action == "validate" and (pass_rate is None or pass_rate < PASS_RATE):
             raise ValueError("the golden set did not pass")
-        if action == "approve" and any(r["oem"] == oem and r["state"] == "canary" for r in self.rows):
-            raise ValueError("one canary per source")
+        if action == "approve":
+            if isinstance(canary_pct, bool) or not isinstance(canary_pct, int) or not 1 <= canary_pct <= 100:
+                raise ValueError("canary_pct must be 1..100")
+            for older in self.rows:  # a source has one canary: the new one takes its place
+                if older["oem"] == oem and older["state"] == "canary":
+                    older["state"], older["canary_pct"] = "retired", 0
         row["state"] = after
         row["canary_pct"] = canary_pct if after == "canary" else 0
         if after in ("active", "canary", "retired"):
@@ -134,10 +139,12 @@ def chained(entries: DataFrame) -> DataFrame:
 
 
 def verify_chain(audit: DataFrame) -> DataFrame:
-    """Per entry whether it follows its predecessor and its own hash is right; parallel but for the one ordering."""
-    w = Window.orderBy("id")
-    right = digest(F.col("prev_hash"), F.col("ts"), F.col("actor"), F.col("action"), F.col("resource"))
-    return audit.select("id", ((F.col("prev_hash") == F.coalesce(F.lag("hash").over(w), F.lit(GENESIS))) & (F.col("hash") == right)).alias("ok"))
+    """Per entry ``id, ok``: whether it follows its predecessor and its own hash is right. Ids are unique; gaps are allowed."""
+    right = F.col("hash") == digest(F.col("prev_hash"), F.col("ts"), F.col("actor"), F.col("action"), F.col("resource"))
+    rows = numbered(audit.select("id", "prev_hash", "hash", F.coalesce(right, F.lit(False)).alias("right")), F.col("id"))
+    earlier = rows.select((F.col("_n") + 1).alias("_n"), F.col("hash").alias("before"))
+    follows = F.coalesce(F.col("prev_hash") == F.when(F.col("_n") == 1, GENESIS).otherwise(F.col("before")), F.lit(False))
+    return rows.join(earlier, "_n", "left").select("id", (F.col("right") & follows).alias("ok"))
 
 
 def erase(drivers: DataFrame, assignments: DataFrame, driver_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -150,6 +157,24 @@ def erase(drivers: DataFrame, assignments: DataFrame, driver_id: int) -> tuple[D
 
 
 def read_audit_once(reads: DataFrame, seconds: int = 60) -> DataFrame:
-    """Reads to record: once per caller and path in ``seconds`` since the last recorded one, by fixed slots of that length."""
-    slot = F.floor(F.col("ts") / (seconds * 1000))
-    return reads.withColumn("slot", slot).groupBy("caller", "path", "slot").agg(F.min("ts").alias("ts")).drop("slot")
+    """Reads to record of ``reads(caller, path, ts)``: the first of each caller and path, then each that comes ``seconds`` or
+    more after the last recorded one.
+
+    What is recorded depends on what was before, so the reads of a caller and path pass one task in order; it holds a
+    batch and the last recorded time. A read without ts is left out.
+    """
+    rows = reads.select("caller", "path", F.col("ts").cast("long").alias("ts")).where("ts is not null")
+    ordered = rows.repartition("caller", "path").sortWithinPartitions("caller", "path", "ts")
+
+    def run(batches):
+        who, last = None, 0
+        for batch in batches:
+            keep = []
+            for caller, path, ts in zip(*(c.to_pylist() for c in batch.columns)):
+                new = (caller, path) != who or ts - last >= seconds * 1000
+                if new:
+                    who, last = (caller, path), ts
+                keep.append(new)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(run, ordered.schema)

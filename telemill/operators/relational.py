@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.geo import geohash_mask
+from telemill.operators.ordered import numbered
 
 
-def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most_rows`` rows; else as it is."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def small(df: DataFrame, most_rows: int = 1_000_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most_rows`` rows that hold at most ``most_bytes`` as text; else as it is."""
+    held = df.limit(most_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if held.n <= most_rows and held.bytes <= most_bytes else df
 
 
 def scoped(rows: DataFrame, tenant: int | None, column: str = "tenant_id") -> DataFrame:
@@ -45,8 +47,8 @@ def offset_page(rows: DataFrame, key: str, skip: int, size: int) -> DataFrame:
 
 def bounded_sample(rows: DataFrame, order: str, most: int) -> DataFrame:
     """At most ``most`` rows at an even stride in order; this is a map's limit of points."""
-    stride = F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy()) / most))
-    return rows.withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1).withColumn("_s", stride).where(F.col("_n") % F.col("_s") == 0).drop("_n", "_s")
+    stride = max(1, -(-rows.count() // most))
+    return numbered(rows, F.col(order)).where((F.col("_n") - 1) % stride == 0).drop("_n")
 
 
 def in_box(lat: Column, lon: Column, south: float, west: float, north: float, east: float) -> Column:
@@ -91,4 +93,4 @@ def cosine_top_k(queries: DataFrame, known: DataFrame, k: int, most_rows: int =
 
 def halves(cases: DataFrame, order: str) -> DataFrame:
     """Cases in order fall alternately into the development and the hold-out half."""
-    return cases.withColumn("half", F.when(F.row_number().over(Window.orderBy(order)) % 2 == 1, "dev").otherwise("hold_out"))
+    return numbered(cases, F.col(order)).withColumn("half", F.when(F.col("_n") % 2 == 1, "dev").otherwise("hold_out")).drop("_n")

@@ -109,7 +109,7 @@ def _except(spark, d):
     return c.select(F.col("c_nationkey").alias("k")).exceptAll(s.select("s_nationkey"))
 
 
-@query("vector_top_k", "WITH q AS (SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id < 10), s AS (SELECT qid, vec_id AS kid, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) AS score FROM q, embeddings) SELECT qid, kid, rank FROM (SELECT qid, kid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, kid) AS INT) AS rank FROM s) WHERE rank <= 5")
+@query("vector_top_k", "WITH q AS (SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT qid, vec_id AS kid, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) AS score FROM q, embeddings) SELECT qid, kid, rank FROM (SELECT qid, kid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, kid) AS INT) AS rank FROM s) WHERE rank <= 5")
 def _vectors(spark, d):
     e = _t(spark, d, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"))
@@ -122,7 +122,7 @@ def _upsert(spark, d):
     return archive.upsert_once(o.where("o_orderkey % 3 = 0"), o.union(o), ("o_orderkey",))
 
 
-@query("retention", "WITH f AS (SELECT o_orderkey AS path, 1000 + o_orderkey % 7 AS size, o_orderkey AS written FROM orders WHERE o_orderkey <= 200), s AS (SELECT *, sum(size) OVER (ORDER BY written DESC) AS total, row_number() OVER (ORDER BY written DESC) AS n FROM f) SELECT path, total <= 20000 OR n = 1 AS keep FROM s")
+@query("retention", "WITH f AS (SELECT o_orderkey AS path, 1000 + o_orderkey % 7 AS size, o_orderkey AS written FROM orders), s AS (SELECT *, sum(size) OVER (ORDER BY written DESC) AS total, row_number() OVER (ORDER BY written DESC) AS n FROM f) SELECT path, total <= 100 * (SELECT count(*) FROM f) OR n = 1 AS keep FROM s")
 def _retention(spark, d):
     f = _t(spark, d, "orders").select(F.col("o_orderkey").alias("path"), (1000 + F.col("o_orderkey") % 7).alias("size"), F.col("o_orderkey").alias("written"))
     return archive.retained(f, 100 * f.count()).select("path", "keep")
@@ -139,7 +139,7 @@ def _erasure(spark, d):
     return governance.erase(c, c, 5)[0].select(F.col("driver_id").alias("c_custkey"), "c_name")
 
 
-@query("audit_chain", "SELECT o_orderkey AS id, o_orderkey % 50 <> 7 AS ok FROM orders WHERE o_orderkey <= 300")
+@query("audit_chain", "SELECT o_orderkey AS id, o_orderkey % 50 <> 7 AS ok FROM orders")
 def _audit(spark, d):
     o = _t(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("ts"), F.lit("x").alias("actor"), F.lit("read").alias("action"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("resource"))
     t = governance.chained(o).withColumn("id", F.col("ts")).withColumn("actor", F.when(F.col("ts") % 50 == 7, "forged").otherwise(F.col("actor")))
@@ -176,7 +176,7 @@ def _assign(spark, d):
     return matching.joint_assignment(p)
 
 
-@query("read_audit_once", "SELECT user_id AS caller, event_type AS path, min(epoch_us(ts) // 1000) AS ts FROM events GROUP BY user_id, event_type, epoch_us(ts) // 1000 // 60000")
+@query("read_audit_once", "WITH RECURSIVE r AS (SELECT user_id AS caller, event_type AS path, epoch_us(ts) // 1000 AS ts FROM events), k AS (SELECT caller, path, min(ts) AS ts FROM r GROUP BY caller, path UNION ALL SELECT r.caller, r.path, min(r.ts) AS ts FROM k JOIN r ON r.caller = k.caller AND r.path = k.path AND r.ts >= k.ts + 60000 GROUP BY r.caller, r.path) SELECT caller, path, ts FROM k")
 def _reads(spark, d):
     e = _t(spark, d, "events").select(F.col("user_id").alias("caller"), F.col("event_type").alias("path"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"))
     return governance.read_audit_once(e)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.functions.geo import geohash_encode
+from telemill.operators.ordered import numbered
 from telemill.plans.schema import ARCHIVE
 
 
@@ -48,8 +49,7 @@ def upsert_once(target: DataFrame, batch: DataFrame, keys=("vin", "ts", "seq"))
 
 def retained(files: DataFrame, budget: int) -> DataFrame:
     """Files ``(path, size, written)`` with ``keep``: the newest ones within the byte budget, and always the newest."""
-    w = Window.orderBy(F.desc("written"), F.desc("path"))
-    return files.withColumn("_sum", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("keep", (F.col("_sum") <= budget) | (F.row_number().over(w) == 1)).drop("_sum")
+    return numbered(files, F.desc("written"), F.desc("path"), total=F.col("size")).withColumn("keep", (F.col("_sum") <= budget) | (F.col("_n") == 1)).drop("_sum", "_n")
 
 
 def to_csv_rows(rows: DataFrame) -> DataFrame:

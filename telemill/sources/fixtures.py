@@ -66,10 +66,10 @@ def encode(dialect: str) -> Column:
         head = F.concat(F.lit('{"from":{"car":"'), c("vin"), F.lit('"},"at":'), text("ts"), F.lit(',"no":'), text("seq"))
         # the pace comes twice, the last one counts; a reading that there is none of is left out
         told = F.concat_ws(",", word("kind", F.lower(c("evt"))), number("pace", F.lit(0)), number("sofar", c("odo_km")), number("toward", c("heading_deg")), number("north", c("lat")), number("east", c("lon")), F.when(c("soc_pct").isNotNull(), number("cell", c("soc_pct"))), word("engine", F.when(c("ignition"), "run").otherwise("stop")), number("pace", c("speed_kmh")))
-        return F.concat(head, F.lit(',"told":['), told, F.lit("]}"))
+        return F.concat(head, F.lit(',"signals":['), told, F.lit("]}"))
     if dialect == "pairs":
         pair = lambda name, v: F.concat(F.lit(f"{name}="), v)
-        return F.concat_ws(";", pair("no", text("seq")), pair("at", text("ts")), pair("car", c("vin")), pair("kind", c("evt")), pair("run", c("ignition").cast("string")), pair("pace", text("speed_kmh")), pair("sofar", text("odo_km")), pair("north", text("lat")), pair("east", text("lon")), F.when(F.size("dtc") > 0, pair("faults", F.array_join("dtc", "/"))))
+        return F.concat_ws(";", pair("car", c("vin")), pair("no", text("seq")), pair("at", text("ts")), pair("kind", c("evt")), pair("run", c("ignition").cast("string")), pair("pace", text("speed_kmh")), pair("sofar", text("odo_km")), pair("north", text("lat")), pair("east", text("lon")), F.when(F.size("dtc") > 0, pair("faults", F.array_join("dtc", "/"))))
     raise ValueError(dialect)
 
 
@@ -140,7 +140,7 @@ SPECS = {
         },
     },
     "signals": {
-        "decoder": {"type": "json", "pivot": {"path": "told", "key": "of", "value": "is", "into": "now"}},
+        "decoder": {"type": "json", "pivot": {"path": "signals", "key": "of", "value": "is", "into": "now"}},
         "fields": {
             "vin": _field("from.car"),
             "ts": _field("at"),
