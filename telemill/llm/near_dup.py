@@ -3,28 +3,37 @@
 Two small hash collections A and B of ``tables`` keys each are computed; every key joins ``rows``
 minhashes. The table keys are all pairs (A_i, B_j): ``tables**2`` tables of ``2 * rows`` minhashes each
 out of only ``2 * tables * rows`` minhash computations. A pair of sets of similarity s meets in some
-table with probability (1 - (1 - s**rows)**tables)**2, for the defaults 0.9994 at s = 0.8.
-
-Exact copies of a set are folded into one class first. In every bucket one member, drawn by a
-hash of bucket and id, is compared with the others (a star, never all pairs). The confirmed links give components; then only the members
-that are still outside their bucket's first component are compared with the bucket's members of other
-components, each pair once: two sets meet in table (i, j) just if A_i and B_j both agree, so the first
-agreeing i and j name one bucket that is responsible for the pair. Of these pairs, those whose 256-bit
-sketches lie more than five standard deviations beyond the wanted similarity are left out (chance of losing
-a true link: under one in a million). No bucket is capped, and links are confirmed on full sets.
+table with probability (1 - (1 - s**rows)**tables)**2, for the defaults 0.9985 at s = 0.8.
+
+Rows of one set are folded into one class first (equal size and 128-bit hash). Classes that meet in a
+bucket are compared on their full sets, without making all pairs of a bucket:
+
+* In each of ``STARS`` rounds every bucket that holds several components draws a leader, and its other
+  members are compared with it. Confirmed links are joined to components, and buckets with one component
+  are done. In the first round a class takes ``FIRST_LEADS`` of its leaders only; later rounds take all.
+* What is still open after that is compared pair by pair, but for pairs that can't be links: sets are
+  folded to ``BITS`` bits, each the parity of the shingles that fall on it, and two sets differ in at least
+  as many shingles as their folded forms in bits. This bound is exact; no link is lost by it.
+
+No bucket is capped and no candidate is dropped that could be a link.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import Scratch, parts_for
 from ._words import blocks, mix, shingles
-from .components import components
+from .components import merged
 
+STARS = 2
+FIRST_LEADS = 4
+BITS = 1024
+_WORDS = [f"b{k}" for k in range(BITS // 64)]
 _SEED = 0x5EED
 
 
@@ -34,12 +43,13 @@ def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_keys(sets: np.ndarray, at: np.ndarray, tables: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each non-empty set, and its 2 * tables collection keys; ``at`` are the offsets of these sets."""
+    """(2, sets): a 128-bit hash of each non-empty set, and (2 * tables, sets): its collection keys; ``at`` are the sets' offsets."""
     times, plus = _constants(2 * tables * rows)
     starts = at[:-1]
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros((0, 2 * tables), np.uint64)
-    whole = mix(np.add.reduceat(sets, starts) ^ (np.bitwise_xor.reduceat(mix(sets), starts) * np.uint64(3)) ^ np.diff(at).astype(np.uint64))
+        return np.zeros((2, 0), np.uint64), np.zeros((2 * tables, 0), np.uint64)
+    size = np.diff(at).astype(np.uint64)
+    whole = np.stack([mix(np.add.reduceat(sets, starts) ^ size), mix(np.add.reduceat(mix(sets), starts) + size)])
     low = np.empty((2 * tables * rows, len(starts)), np.uint64)
     for k in range(len(times)):
         v = sets * times[k]
@@ -48,65 +58,54 @@ def set_keys(sets: np.ndarray, at: np.ndarray, tables: int, rows: int) -> tuple[
     keys = np.zeros((2 * tables, len(starts)), np.uint64)
     for r in range(rows):
         keys = mix(keys * np.uint64(31) + low[r::rows] + np.uint64(r + 1))
-    return whole, np.ascontiguousarray(keys.T)
+    return whole, keys
+
+
+def _content(docs: DataFrame) -> DataFrame:
+    """``doc_id`` as bigint, ``t`` (a hash of the text) and ``text``: rows that agree in these are told apart by nothing."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
 
 
 def signatures(docs: DataFrame, width: int, tables: int, rows: int) -> DataFrame:
-    """``(doc_id, n, set_hash, keys)`` for each row of ``docs``."""
+    """``row, doc_id, t, n, hi, lo, k0 ...`` for each row of ``docs``; ``row`` is unique once this is written."""
+    keys = [f"k{k}" for k in range(2 * tables)]
 
     def run(batches):
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
-            for lo, hi, hashes, at in blocks(text):
+            for lo, hi, hashes, at in blocks(batch.column(2)):
                 sets, to = shingles(hashes, at, width)
                 sizes = np.diff(to)
                 full = np.flatnonzero(sizes)
                 whole, own = set_keys(sets, np.append(to[:-1][full], to[-1]), tables, rows)
-                spread = np.concatenate([[0], np.cumsum((sizes > 0) * 2 * tables)]).astype(np.int32)
-                h = np.zeros(hi - lo, np.int64)
-                h[full] = whole.view(np.int64)
-                none = sizes == 0
-                keys = pa.ListArray.from_arrays(pa.array(spread, pa.int32()), pa.array(own.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(h, pa.int64(), mask=none), keys], ["doc_id", "n", "set_hash", "keys"])
+                wide = np.zeros((2 + 2 * tables, hi - lo), np.uint64)
+                wide[:, full] = np.concatenate([whole, own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + hi - lo)), batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sizes, pa.int64()), *[pa.array(x.view(np.int64)) for x in wide]], ["row", "doc_id", "t", "n", "hi", "lo", *keys])
+                row += hi - lo
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, set_hash bigint, keys array<bigint>")
+    return _content(docs).mapInArrow(run, "row bigint, doc_id bigint, t bigint, n bigint, hi bigint, lo bigint, " + ", ".join(f"{k} bigint" for k in keys))
 
 
-SKETCH = 256
+def folded_bits(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(rows, BITS / 64): the parity, bit by bit, of the shingles of each set that fall on it."""
+    out = np.zeros((len(at) - 1) * len(_WORDS), np.uint64)
+    place = mix(sets) % np.uint64(BITS)
+    word = np.repeat(np.arange(len(at) - 1), np.diff(at)) * len(_WORDS) + (place >> np.uint64(6)).astype(np.int64)
+    np.bitwise_xor.at(out, word, np.uint64(1) << (place & np.uint64(63)))
+    return out.reshape(-1, len(_WORDS))
 
 
-def sketches(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(rows, SKETCH / 64): one bit each of SKETCH further minhashes; two sets of similarity s agree in (1 + s) / 2 of them."""
-    draw = np.random.default_rng(_SEED + 1)
-    times, plus = draw.integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1), draw.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
-    bits = np.zeros((len(at) - 1, SKETCH), np.uint8)
-    full = np.flatnonzero(np.diff(at))
-    if len(full):
-        for k in range(SKETCH):
-            v = sets * times[k]
-            v += plus[k]
-            bits[full, k] = mix(np.minimum.reduceat(v, at[:-1][full])) & np.uint64(1)
-    return np.packbits(bits, axis=1).view(np.int64)
-
-
-def most_apart(percent: int) -> int:
-    """Sketch bits that a pair at ``percent`` similarity differs in, five standard deviations up."""
-    p = (1 - percent / 100) / 2
-    return min(SKETCH, int(np.ceil(SKETCH * p + 5 * (SKETCH * p * (1 - p)) ** 0.5)))
-
-
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``(id, s, sketch)``: the sorted distinct shingle hashes of each row of ``docs(id, text)``, and their sketch."""
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """``(id, s, b0 ...)``: the sorted distinct shingle hashes of each row of ``texts(id, text)``, and their folded bits."""
 
     def run(batches):
         for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
-            for lo, hi, hashes, at in blocks(text):
+            for lo, hi, hashes, at in blocks(batch.column(1)):
                 sets, to = shingles(hashes, at, width)
-                bits = pa.FixedSizeListArray.from_arrays(pa.array(sketches(sets, to).reshape(-1)), SKETCH // 64).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(sets.view(np.int64))), bits], ["id", "s", "sketch"])
+                bits = folded_bits(sets, to).T
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(sets.view(np.int64))), *[pa.array(x.view(np.int64)) for x in bits]], ["id", "s", *_WORDS])
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, s array<bigint>, sketch array<bigint>")
+    return texts.select("id", "text").mapInArrow(run, "id bigint, s array<bigint>, " + ", ".join(f"{b} bigint" for b in _WORDS))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -114,56 +113,119 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    near = 100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb"))
+    return both.where(near).where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def _star(known: DataFrame, turn: int) -> DataFrame:
+    """``(id, lead)``: every bucket of ``known(bucket, id, label)`` that holds several labels draws a leader for its members of other labels."""
+    # the least id under a mask of the bucket: a member of a large group meets many different leaders
+    mask = F.xxhash64("bucket", F.lit(turn))
+    drawn = known.groupBy("bucket").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("drawn"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    lead = drawn.select("bucket", F.col("drawn").bitwiseXOR(mask).alias("lead")).join(known.select("bucket", F.col("id").alias("lead"), F.col("label").alias("lead_label")), ["bucket", "lead"])
+    return known.join(lead, "bucket").where("label <> lead_label").select("id", "lead").distinct()
+
+
+def _links(s: Scratch, docs: DataFrame, sig: DataFrame, classes: DataFrame, width: int, percent: int, tables: int) -> DataFrame | None:
+    """``(id, label)`` of all classes that are linked with another one; None if no two classes meet."""
+    table = F.array(*[F.struct(F.lit(i * tables + j).alias("t"), F.col(f"k{i}").alias("x"), F.col(f"k{tables + j}").alias("y")) for i in range(tables) for j in range(tables)])
+    spread = classes.select("id", *[f"k{k}" for k in range(2 * tables)]).repartition(parts_for(docs.sparkSession), "id")
+    keyed = spread.select("id", F.explode(table).alias("k")).select(F.xxhash64("k.t", "k.x", "k.y").alias("bucket"), "id")
+    shared = s.write(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
+    members = s.write(keyed.join(shared, "bucket").select("bucket", "id"), "members")
+    if not members.limit(1).count():
+        return None
+
+    wanted = sig.select(F.col("row").alias("id"), "doc_id", "t").join(members.select("id").distinct(), "id")
+    content = _content(docs)
+    texts = content.join(wanted, content.doc_id.eqNullSafe(wanted.doc_id) & (content.t == wanted.t)).select("id", "text")
+    # repeated rows give the same set; one is kept of each
+    sets = s.write(shingle_sets(texts, width).groupBy("id").agg(*[F.first(c).alias(c) for c in ("s", *_WORDS)]), "sets")
+
+    known, label = members.select("bucket", "id", F.col("id").alias("label")), None
+    for turn in range(STARS):
+        met = _star(known, turn)
+        if not turn:
+            met = met.groupBy("id").agg(F.collect_set(F.struct(F.xxhash64("lead", "id").alias("draw"), "lead")).alias("leads"))  # at most one a table
+            met = met.select("id", F.explode(F.slice(F.array_sort("leads"), 1, FIRST_LEADS))).select("id", "col.lead")
+        pairs = met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        label = merged(label, confirmed(pairs, sets, percent), s)
+        after = known.select("bucket", "id").join(label, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+        several = after.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        known = s.write(after.join(several, "bucket").select("bucket", "id", "label"), "known")
+
+    able = classes.select("id", "n").join(known.select("id").distinct(), "id").join(sets.drop("s"), "id")
+    first = known.groupBy("bucket").agg(F.min("label").alias("first"))
+    open_ = s.write(known.join(first, "bucket").join(able, "id"), "open")
+    named = lambda side: open_.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "label", "first", *_WORDS)])
+    x, y = named("x").where("x_label <> x_first").drop("x_first"), named("y")
+    once = (F.col("y_label") == F.col("y_first")) | (F.col("x_id") < F.col("y_id"))
+    met = x.join(y, [x.bucket == y.bucket, F.col("x_label") != F.col("y_label"), once, *_may_link(percent)])
+    pairs = s.write(met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(), "pairs", wide=True)
+    return merged(label, confirmed(pairs, sets, percent), s)
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, tables: int = 8, rows: int = 2) -> DataFrame:
+def _may_link(percent: int) -> list[Column]:
+    """What sizes and folded bits allow: sets that differ in d shingles share (n + n' - d) / 2."""
+    both = F.col("x_n") + F.col("y_n")
+    differ = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in _WORDS), F.lit(0))
+    return [100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"), (100 + percent) * (both - differ) >= 2 * percent * both]
+
+
+def grouped(s: Scratch, docs: DataFrame, shingle_words: int, percent: int, tables: int, rows: int) -> DataFrame:
+    """Per row with shingles ``row, doc_id, t, n, label, component_id``, per row without ``row, doc_id, t, 0, row, doc_id``; written.
+
+    ``label`` names the group and is never null; ``component_id`` is the group's least doc_id.
+    """
+    sig = s.write(signatures(docs, shingle_words, tables, rows), "signatures")
+    keys = [f"k{k}" for k in range(2 * tables)]
+    folded = sig.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id"), *[F.first(k).alias(k) for k in keys])
+    classes = s.write(folded, "classes")
+    label = _links(s, docs, sig, classes, shingle_words, percent, tables)
+    placed = classes.select("n", "hi", "lo", "id", F.col("doc_id").alias("least"))
+    if label is None:
+        placed = placed.withColumnRenamed("id", "label")
+    else:
+        linked = classes.select("id", "doc_id").join(label, "id")
+        least = linked.groupBy("label").agg(F.min("doc_id").alias("group_least"))
+        member = s.write(linked.join(least, "label").select("id", "label", "group_least"), "linked")
+        placed = placed.join(member, "id", "left").select("n", "hi", "lo", F.coalesce("label", "id").alias("label"), F.when(F.col("label").isNotNull(), F.col("group_least")).otherwise(F.col("least")).alias("least"))
+    found = sig.where("n > 0").select("row", "doc_id", "t", "n", "hi", "lo").join(placed, ["n", "hi", "lo"]).select("row", "doc_id", "t", "n", "label", F.col("least").alias("component_id"))
+    alone = sig.where("n = 0").select("row", "doc_id", "t", "n", F.col("row").alias("label"), F.col("doc_id").alias("component_id"))
+    out = s.write(found.union(alone), "grouped")
+    s.close(out)
+    return out
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, tables: int = 10, rows: int = 3) -> DataFrame:
     """Per row of ``docs(doc_id, text, ...)``: ``doc_id, n_shingles, component_id, kept``.
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased. A text with fewer words
     than ``shingle_words`` has its whole sequence as one shingle; null, empty and blank texts have
-    n_shingles 0 and are linked with nothing. Rows of one doc_id are one node, and repeated rows give
-    repeated result rows. Rows without doc_id are linked with nothing: their component_id and kept are
-    null. An empty table gives an empty result; other columns are ignored.
+    n_shingles 0 and are linked with nothing. Very long texts are taken whole. Rows are told apart by their
+    texts, not by doc_id: rows of one doc_id with different texts may be in different groups, repeated rows
+    are one class and give repeated result rows. ``component_id`` is the least doc_id of the group; it is null
+    only where no row of the group has one, and ``kept`` is null where the row has none. An empty table gives an
+    empty result; other columns, whatever their names, are ignored.
     """
-    sig = written(signatures(docs, shingle_words, tables, rows), "signatures")
-    full = sig.where("set_hash is not null and doc_id is not null")
-    classes = written(full.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-
-    table = F.array(*[F.struct(F.lit(i * tables + j).alias("t"), F.col("keys")[i].alias("x"), F.col("keys")[tables + j].alias("y")) for i in range(tables) for j in range(tables)])
-    keyed = classes.select("id", "n", F.explode(table).alias("k")).select(F.xxhash64("k.t", "k.x", "k.y").alias("bucket"), "id", "n")
-    # every bucket draws its own leader by a hash, so a member of a large group is held against many different ones
-    drawn = F.min(F.struct(F.xxhash64("id", "bucket").alias("draw"), "id", "n")).alias("lead")
-    shared = written(keyed.groupBy("bucket").agg(drawn, F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("bucket", "lead"), "shared")
-    members = written(keyed.join(shared, "bucket").select("bucket", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "members")
-
-    size_fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    star = written(members.where("id <> lead").where(size_fits(F.col("n"), F.col("lead_n"))).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "star")
-    wanted = members.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(wanted, "id")
-    # copies of a class need no set of their own: only the texts of class ids are kept, one of each
-    sets = written(shingle_sets(texts, shingle_words).groupBy(F.xxhash64("s").alias("h"), "id").agg(F.first("s").alias("s"), F.first("sketch").alias("sketch")).select("id", "s", "sketch"), "sets")
-    links = written(confirmed(star, sets, percent), "star_links")
-    label = components(links)
-
-    # members that their bucket's star left outside, against the other components of the bucket
-    known = written(members.join(label, "id", "left").select("bucket", "id", "n", "lead", F.coalesce("label", "id").alias("label")), "known")
-    mixed = written(known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("id") == F.col("lead"), F.col("label"))).alias("first")).where("low <> high").select("bucket", "first"), "mixed")
-    open_ = known.join(mixed, "bucket").select("bucket", "id", "n", "lead", "label", "first")
-    open_ = written(open_.join(classes.groupBy("id").agg(F.first("keys").alias("keys")), "id").join(sets.groupBy("id").agg(F.first("sketch").alias("sketch")), "id"), "open")
-    x = open_.where("label <> first").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "label", "keys", "sketch")])
-    y = open_.where("id <> lead").select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "label", "keys", "sketch", "first")])
-    first_same = lambda lo: F.coalesce(*[F.when(F.col("x_keys")[k] == F.col("y_keys")[k], F.lit(k)) for k in range(lo, lo + tables)], F.lit(lo))
-    i, j = first_same(0), first_same(tables)
-    responsible = F.xxhash64((i * tables + (j - tables)).cast("int"), F.element_at("x_keys", i + 1), F.element_at("x_keys", j + 1)) == x.bucket
-    apart = sum((F.bit_count(F.col("x_sketch")[k].bitwiseXOR(F.col("y_sketch")[k])) for k in range(SKETCH // 64)), F.lit(0))
-    once = (F.col("y_label") == F.col("y_first")) | (F.col("x_id") < F.col("y_id"))
-    rest = x.join(y, [x.bucket == y.bucket, F.col("x_label") != F.col("y_label"), size_fits(F.col("x_n"), F.col("y_n")), once, apart <= most_apart(percent), responsible])
-    rest = written(rest.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(), "rest")
-    more = written(confirmed(rest, sets, percent), "more_links")
-    label = components(links.union(more))
-
-    placed = written(classes.join(label, "id", "left").select("set_hash", F.coalesce("label", "id").alias("component_id")), "placed")
-    found = sig.where("set_hash is not null").select("doc_id", F.col("n").alias("n_shingles"), "set_hash").join(placed, "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    alone = sig.where("set_hash is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return found.union(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    found = grouped(Scratch(docs.sparkSession), docs, shingle_words, percent, tables, rows)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, tables: int = 10, rows: int = 3) -> DataFrame:
+    """The rows of ``docs`` less all but one of each group of near duplicates.
+
+    The row with the smallest doc_id stays, rows without one come last, ties go by a hash of the text; of rows that
+    agree in doc_id and text one stays. Rows without words are in no group and all stay. Columns are those of ``docs``.
+    """
+    found = grouped(Scratch(docs.sparkSession), docs, shingle_words, percent, tables, rows)
+    best = found.where("n > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("t").alias("t"))).alias("best"))
+    chosen = best.select(F.col("best.id").alias("__telemill_id"), F.col("best.t").alias("__telemill_t"))
+    copies = found.where("n > 0").groupBy("doc_id", "t").agg(F.count("*").alias("__telemill_rows"))
+    chosen = chosen.join(copies, F.col("__telemill_id").eqNullSafe(copies.doc_id) & (F.col("__telemill_t") == copies.t)).select("__telemill_id", "__telemill_t", "__telemill_rows")
+    s = Scratch(docs.sparkSession)
+    chosen = s.write(chosen, "chosen")
+    worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    once = docs.where(worded).join(chosen, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__telemill_id")) & (F.xxhash64("text") == F.col("__telemill_t")))
+    repeated = once.where("__telemill_rows > 1").dropDuplicates(["__telemill_id", "__telemill_t"])
+    return once.where("__telemill_rows = 1").select(*docs.columns).union(repeated.select(*docs.columns)).union(docs.where(~worded))
