@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from telemill.llm import decontam, mixing, near_dup, token_output, toxicity
 from telemill.llm._store import written
@@ -14,17 +13,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go. The decision is made on the text beside it, in the same pass."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.with_scores(docs.select(*COLUMNS), model).where("not toxic").select(*COLUMNS)
+    return toxicity.without_toxic(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the smallest doc_id, once. Five-word shingles, similarity 0.8."""
-    found = near_dup.near_duplicates(docs)
-    kept = written(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
-    once = docs.select(*COLUMNS).join(kept, "doc_id")
-    repeated = once.where("_rows > 1").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return once.where("_rows = 1").select(*COLUMNS).union(repeated).union(docs.select(*COLUMNS).where("doc_id is null"))
+    return near_dup.without_near_duplicates(docs.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +28,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it (its taken words over its size, rounded half up)."""
-    taken = written(mixing.mix_sources(docs).where("taken > 0").select("doc_id", F.expr("cast((2 * taken + size) div (2 * size) as int)").alias("_times")).where("_times > 0"), "taken")
-    return docs.select(*COLUMNS).join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
+    return mixing.repeated(docs.select(*COLUMNS))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,20 +67,41 @@ def words_of(text) -> object:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
 
 
+ROW = "__telemill_row"
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most_epochs: int = 3, block_tokens: int = 32, seed: int = 17, ranges: int = 2048) -> DataFrame:
     """Per row of ``docs(doc_id, text, source, ...)``: ``doc_id, size, source_size, target, taken``.
 
     ``taken`` counts the words that the mix takes from the row, repeats counted, at most ``most_epochs`` times
-    its size. A null source is a source of its own, the last. Rows without words take part with size 0. Rows with
-    equal ids are told apart by their place only. An empty table gives an empty result. Reruns agree, as the order
-    is hashed from doc_id and all arithmetic is exact.
+    its size. A null source is a source of its own, the last. Rows without words take part with size 0. Rows that
+    agree in doc_id and text are told apart by their place only. An empty table gives an empty result. Other columns
+    are not looked at. Reruns agree, as the order is hashed from doc_id and text and all arithmetic is exact.
+    """
+    return _mixed(docs.withColumn(ROW, F.monotonically_increasing_id()), weights, most_epochs, block_tokens, seed, ranges).drop(ROW)
+
+
+def repeated(docs: DataFrame, **settings) -> DataFrame:
+    """Every row of ``docs`` as many times as the mix takes it: its taken words over its size, rounded half up.
+
+    Each row has its own key, made once, so null ids and repeated rows are mixed like any other. Rows without words
+    are not taken. ``settings`` and the rest are as in ``mix_sources``.
     """
+    keyed = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    times = F.expr("cast((2 * taken + size) div (2 * size) as int)")
+    taken = _mixed(keyed, **settings).where("taken > 0").select(F.col(ROW), times.alias("__telemill_times")).where("__telemill_times > 0")
+    each = keyed.join(written(taken, "taken"), ROW)
+    return each.withColumn("__telemill_copy", F.explode(F.sequence(F.lit(1), F.col("__telemill_times")))).select(*docs.columns)
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most_epochs: int = 3, block_tokens: int = 32, seed: int = 17, ranges: int = 2048) -> DataFrame:
+    """``mix_sources`` with the column ``ROW`` of ``docs``."""
     spark = docs.sparkSession
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size")).withColumn("key", key), "sized")
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    sized = written(docs.select(ROW, "doc_id", F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"), key.alias("key")), "sized")
     per_source = [(r.source, r.size) for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()]
     if not per_source:
-        return sized.select("doc_id", "size", F.lit(0).cast("bigint").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("bigint").alias("taken"))
+        return sized.select(ROW, "doc_id", "size", F.lit(0).cast("bigint").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("bigint").alias("taken"))
     plan = targets(per_source, weights, most_epochs)
     number = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(k)) for k, (s, _, _) in enumerate(plan)])
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("source_no") + 1)
@@ -90,19 +111,19 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most_epoc
     sums = written(numbered.groupBy("source_no", "range").agg(F.sum("size").alias("n")), "range_sums")
     base = sums.select("source_no", "range", (F.sum("n").over(Window.partitionBy("source_no").orderBy("range")) - F.col("n")).alias("base"))
     inside = F.sum("size").over(Window.partitionBy("source_no", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    placed = numbered.select("doc_id", "size", "source_no", "range", inside.alias("own")).join(base, ["source_no", "range"]).select("doc_id", "size", "source_no", (F.col("base") + F.col("own")).alias("start"))
-    placed = written(placed.withColumn("row", F.monotonically_increasing_id()), "placed")
+    placed = numbered.select(ROW, "doc_id", "size", "source_no", "range", inside.alias("own")).join(base, ["source_no", "range"]).select(ROW, "doc_id", "size", "source_no", (F.col("base") + F.col("own")).alias("start"))
+    placed = written(placed, "placed")
 
     blocks = {k: -(-n // block_tokens) for k, (_, n, _) in enumerate(plan)}
     total = sum(n for _, n, _ in plan)
     slots = schedule(spark, [(k, t) for k, (_, _, t) in enumerate(plan)], -(-total // block_tokens)) if total else None
-    spans = placed.where("size > 0").select("row", "source_no", "start", (F.col("start") + F.col("size")).alias("end"), F.explode(F.sequence(F.expr(f"start div {block_tokens}"), F.expr(f"(start + size - 1) div {block_tokens}"))).alias("block"))
+    spans = placed.where("size > 0").select(ROW, "source_no", "start", (F.col("start") + F.col("size")).alias("end"), F.explode(F.sequence(F.expr(f"start div {block_tokens}"), F.expr(f"(start + size - 1) div {block_tokens}"))).alias("block"))
     overlap = F.least(F.col("end"), (F.col("block") + 1) * block_tokens) - F.greatest(F.col("start"), F.col("block") * block_tokens)
     if slots is None:
-        taken = placed.select("row", F.lit(0).cast("bigint").alias("taken")).limit(0)
+        taken = placed.select(ROW, F.lit(0).cast("bigint").alias("taken")).limit(0)
     else:
         n_blocks = pick([blocks[k] for k in range(len(plan))]).cast("bigint")
         times = slots.withColumn("n_blocks", n_blocks).where(F.col("rank") < most_epochs * F.col("n_blocks")).groupBy("source_no", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("times"))
-        taken = spans.select("row", "source_no", "block", overlap.alias("words")).join(times, ["source_no", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = placed.join(taken, "row", "left")
-    return out.select("doc_id", "size", pick([n for _, n, _ in plan]).cast("bigint").alias("source_size"), pick([t for _, _, t in plan]).alias("target"), F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+        taken = spans.select(ROW, "source_no", "block", overlap.alias("words")).join(times, ["source_no", "block"]).groupBy(ROW).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    out = placed.join(taken, ROW, "left")
+    return out.select(ROW, "doc_id", "size", pick([n for _, n, _ in plan]).cast("bigint").alias("source_size"), pick([t for _, _, t in plan]).alias("target"), F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
