@@ -11,6 +11,9 @@ from . import decontam, lm_score, mixing, near_dup, pii, secrets, simhash, token
 
 TOKENIZER = "word_bpe_49k.json"
 
+#: so that reruns of the registered query agree; real data need a secret key, in the setting spark.telemill.pii.key
+PUBLIC_KEY = "not a secret"
+
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
@@ -64,7 +67,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), key=spark.conf.get("spark.telemill.pii.key", PUBLIC_KEY))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
