@@ -9,108 +9,170 @@ reaches can hold it. A shard holds the ids of consecutive documents:
     lengths:    expanded length of every rule, uint32
     documents:  for each document its first symbol, and its number of ids, uint32
 
-Re-Pair runs in batches: each round counts all adjacent pairs of the shard, gives the most frequent ones
-nonterminals and replaces them from left to right. The end id may also stand inside a text, so while it is
-compressed each document ends in a symbol of its own, outside the vocabulary, that no pair holds: every document
-begins at a symbol boundary and can be expanded alone; inside it, expansion lengths lead to any position.
+Re-Pair runs in batches: each round counts all adjacent pairs of the shard and replaces those that occur at least
+``LEAST`` times; where two such pairs overlap, the more frequent one goes first. Rounds go on until no pair is that
+frequent. The end id may also stand inside a text, so while it is compressed each document ends in a symbol of its
+own, outside the vocabulary, that no pair holds: every document begins at a symbol boundary and can be expanded
+alone; inside it, expansion lengths lead to any position.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+import uuid
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import parts_for, written
+from ._store import parts_for, save, scratch_dir
+from ._words import mix
 
 MAGIC = b"RPG1"
 END = 1
+LEAST = 12
 _SLOTS = 18
-_CACHE_MOST = 400_000  # entries of each of an encoder's caches; they only save work
+_CACHE_MOST = 300_000  # entries of each of an encoder's caches; they only save work
 
 
 # ---- Re-Pair -------------------------------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, rounds: int = 4, per_round: int = 2048, least: int = 12, first_free: int | None = None, bar: int = END) -> tuple[np.ndarray, np.ndarray, int]:
+def _frequent(seq: np.ndarray, places: np.ndarray, least: int, bar: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs at ``places``: those that occur at least ``least`` times, in order, their counts, all places of them and which pair stands there."""
+    slot = seq[places] * np.uint32(2654435769)
+    slot += seq[places + 1] * np.uint32(2246822519)
+    slot >>= np.uint32(32 - _SLOTS)
+    often = np.bincount(slot, minlength=1 << _SLOTS) >= least  # a slot holds all occurrences of its pairs
+    keep = often[slot] & (seq[places] != bar) & (seq[places + 1] != bar)
+    places, slot = places[keep], slot[keep]
+    pair = (seq[places].astype(np.uint64) << np.uint64(32)) | seq[places + 1]
+    order = np.sort(pair)
+    first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(order)))
+    pairs, counts = order[first][counts >= least], counts[counts >= least]
+    if not len(pairs):
+        return pairs, counts, places[:0], places[:0]
+    # which pair stands at a place: by its slot, and by search where two frequent pairs share a slot
+    high, low = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
+    home = (high * np.uint32(2654435769) + low * np.uint32(2246822519)) >> np.uint32(32 - _SLOTS)
+    stands = np.full(1 << _SLOTS, -1, np.int32)
+    stands[home] = np.arange(len(pairs), dtype=np.int32)
+    which = stands[slot]
+    own = which >= 0
+    own[own] = pairs[which[own]] == pair[own]
+    shared = np.zeros(1 << _SLOTS, bool)
+    shared[home[stands[home] != np.arange(len(pairs))]] = True
+    rest = np.flatnonzero(~own & shared[slot])
+    at = np.minimum(np.searchsorted(pairs, pair[rest]), len(pairs) - 1)
+    found = pairs[at] == pair[rest]
+    which[rest[found]], own[rest[found]] = at[found], True
+    return pairs, counts, places[own], which[own]
+
+
+def compress(ids: np.ndarray, least: int = LEAST, first_free: int | None = None, bar: int = END) -> tuple[np.ndarray, np.ndarray, int]:
     """The compressed symbols, the rules (n, 2) and the first rule's symbol; no pair holds ``bar``."""
     seq = ids.astype(np.uint32)
     free = int(seq.max()) + 1 if first_free is None and len(seq) else (first_free or 0)
     rules: list[np.ndarray] = []
     at = free
-    for _ in range(rounds):
-        if len(seq) < 2:
+    open_ = np.arange(max(0, len(seq) - 1))  # places where a frequent pair may stand: all, then those that a round has left or made
+    while len(open_):
+        pairs, counts, places, which = _frequent(seq, open_, least, bar)
+        if not len(pairs):
             break
-        left, right = seq[:-1], seq[1:]
-        slot = left * np.uint32(2654435769)
-        slot += right * np.uint32(2246822519)
-        slot >>= np.uint32(32 - _SLOTS)
-        slot[(left == bar) | (right == bar)] = 0  # slot 0 is given up for pairs that may not be replaced
-        often = np.bincount(slot, minlength=1 << _SLOTS) >= least
-        often[0] = False
-        places = np.flatnonzero(often[slot])
-        if not len(places):
-            break
-        pair = (left[places].astype(np.uint64) << np.uint64(32)) | right[places]
-        own = slot[places]
-        stands = np.zeros(1 << _SLOTS, np.uint64)
-        stands[own] = pair
-        same = stands[own] == pair
-        places, own = places[same], own[same]
-        counts = np.bincount(own, minlength=1 << _SLOTS)
-        found = np.flatnonzero(counts >= least)
-        if not len(found):
-            break
-        if len(found) > per_round:
-            found = found[np.argsort(-counts[found], kind="stable")[:per_round]]
-        symbol = np.zeros(1 << _SLOTS, np.uint32)
-        symbol[found] = at + np.arange(len(found), dtype=np.uint32)
-        new = symbol[own]
-        places, new = places[new > 0], new[new > 0]
+        # a pair goes before its neighbours if it is more frequent; ties go by a hash, runs of one pair from the left
+        rank = np.empty(len(pairs), np.int64)
+        rank[np.lexsort((mix(pairs), counts))] = np.arange(len(pairs))
+        weight = rank[which]
+        near = places[1:] == places[:-1] + 1
+        beats = np.ones(len(places), bool)
+        beats[1:] &= ~near | (weight[1:] >= weight[:-1])
+        beats[:-1] &= ~near | (weight[:-1] >= weight[1:])
         run = np.ones(len(places), bool)
-        run[1:] = places[1:] != places[:-1] + 1
+        run[1:] = ~(near & (which[1:] == which[:-1]))
         head = np.maximum.accumulate(np.where(run, np.arange(len(places)), 0))
-        take = (np.arange(len(places)) - head) % 2 == 0
-        places, new = places[take], new[take]
-        seq[places] = new
-        stay = np.ones(len(seq), bool)
-        stay[places + 1] = False
-        seq = seq[stay]
-        rules.append(np.stack([(stands[found] >> np.uint64(32)).astype(np.uint32), stands[found].astype(np.uint32)], 1))
-        at += len(found)
+        beats &= (np.arange(len(places)) - head) % 2 == 0
+        met = places
+        places, which = places[beats], which[beats]
+        stay = np.ones(len(places), bool)  # the last of an odd run may touch the next pair
+        stay[1:] = places[1:] != places[:-1] + 1
+        places, which = places[stay], which[stay]
+        used = np.bincount(which, minlength=len(pairs))
+        good = used >= min(4, used.max())  # fewer places don't pay for a rule
+        number = np.cumsum(good) - 1
+        inside = good[which]
+        places, which = places[inside], which[inside]
+        seq[places] = (at + number[which]).astype(np.uint32)
+        left = np.ones(len(seq), bool)
+        left[places + 1] = False
+        moved = np.cumsum(left) - 1
+        seq = seq[left]
+        mark = np.zeros(len(seq) + 1, bool)
+        mark[moved[met[left[met]]]] = True
+        mark[moved[places]] = True
+        mark[moved[places] - 1] = True  # before the first symbol: the spare place
+        open_ = np.flatnonzero(mark[: max(0, len(seq) - 1)])
+        new = pairs[good]
+        rules.append(np.stack([(new >> np.uint64(32)).astype(np.uint32), new.astype(np.uint32)], 1))
+        at += len(new)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), free
 
 
+def _poured(symbols: np.ndarray, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, free: int) -> np.ndarray:
+    """``symbols`` with each rule's symbol replaced by its ids ``flat[begin : begin + size]``."""
+    high = symbols >= free
+    rule = symbols[high].astype(np.int64) - free
+    n = np.ones(len(symbols), np.int64)
+    n[high] = size[rule]
+    to = np.cumsum(n) - n
+    out = np.empty(int(n.sum()), np.uint32)
+    out[to[~high]] = symbols[~high]
+    n = n[high]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(to[high], n) + step] = flat[np.repeat(begin[rule], n) + step]
+    return out
+
+
 def rule_lengths(rules: np.ndarray, free: int) -> np.ndarray:
-    size = np.ones(len(rules), np.uint32)
-    length = lambda x: np.where(x >= free, size[np.maximum(x.astype(np.int64) - free, 0)], np.uint32(1))
-    while len(rules):
-        now = length(rules[:, 0]) + length(rules[:, 1])
-        if (now == size).all():
-            break
-        size = now.astype(np.uint32)
+    """Expanded length of every rule; rules hold earlier ones only."""
+    size = np.ones(len(rules), np.int64)
+    for a, b in _levels(rules, free):
+        part = rules[a:b]
+        size[a:b] = np.where(part >= free, size[np.maximum(part.astype(np.int64) - free, 0)], 1).sum(1)
     return size
 
 
+def _levels(rules: np.ndarray, free: int):
+    """Runs of rules that hold only rules before the run."""
+    highest = rules.max(1).astype(np.int64) if len(rules) else np.zeros(0, np.int64)
+    a = 0
+    while a < len(rules):
+        late = np.flatnonzero(highest[a:] >= free + a)
+        b = a + int(late[0]) if len(late) else len(rules)
+        yield a, b
+        a = b
+
+
+def flattened(rules: np.ndarray, free: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all rules one after another, where each begins, and how many they are; rules hold earlier ones only."""
+    size = rule_lengths(rules, free)
+    begin = np.cumsum(size) - size
+    flat = np.empty(int(size.sum()), np.uint32)
+    for a, b in _levels(rules, free):
+        flat[begin[a] : begin[b - 1] + size[b - 1]] = _poured(rules[a:b].ravel(), flat, begin, size, free)
+    return flat, begin, size
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, free: int) -> np.ndarray:
-    """The ids of ``symbols``; each pass expands one level of all nonterminals."""
-    out = symbols
-    while len(out) and len(rules) and (high := out >= free).any():
-        to = np.cumsum(high + 1) - (high + 1)
-        wide = np.empty(len(out) + int(high.sum()), np.uint32)
-        wide[to[~high]] = out[~high]
-        pair = rules[out[high] - np.uint32(free)]
-        wide[to[high]], wide[to[high] + 1] = pair[:, 0], pair[:, 1]
-        out = wide
-    return out
+    """The ids of ``symbols``."""
+    return _poured(symbols, *flattened(rules, free), free)
 
 
 def pack(ids: np.ndarray, sizes: np.ndarray, first_free: int | None = None) -> bytes:
@@ -138,8 +200,10 @@ class Shard:
         self.rules, self.seq = a[: cut[0]].reshape(-1, 2), a[cut[0] : cut[1]]
         self.lengths, self.begins, self.sizes = a[cut[1] : cut[2]], a[cut[2] : cut[3]], a[cut[3] :]
 
+        self.flat = flattened(self.rules, self.free)
+
     def ids(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.free)
+        return _poured(self.seq, *self.flat, self.free)
 
     def document(self, k: int, start: int = 0, count: int | None = None) -> np.ndarray:
         to = self.begins[k + 1] if k + 1 < len(self.begins) else len(self.seq)
@@ -152,12 +216,14 @@ class Shard:
         a = int(np.searchsorted(ends, start, side="right"))
         b = int(np.searchsorted(ends, start + count, side="left")) + 1
         skip = start - (int(ends[a - 1]) if a else 0)
-        return expand(part[a:b], self.rules, self.free)[skip : skip + count]
+        return _poured(part[a:b], *self.flat, self.free)[skip : skip + count]
 
 
 # ---- tokenizing ----------------------------------------------------------------------------------
 
-_PLAIN = re.compile(r"[!-;=?-~À-ÖØ-öø-įı-ɏ]+").fullmatch  # no "<" or ">": special tokens stay with the library
+# no "<" or ">": special tokens stay with the library. A chunk is cut here only if its lower-cased form stays in the range too.
+_PLAIN = re.compile(r"[!-;=?-~À-ÖØ-öø-įı-ɏ]+").fullmatch
+_LOWERED = re.compile(r"[!-;=?-@\[-~ß-öø-ɏ]+").fullmatch
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^\sa-z0-9ß-öø-ɏ]+").findall
 
 
@@ -166,7 +232,7 @@ class Encoder:
 
     The normaliser and the pre-tokenizer of this vocabulary never look across white space. A chunk of plain
     Latin letters, digits and ASCII signs is cut by the same pattern and given to the library's model piece
-    by piece; any other chunk is encoded by the library as it stands.
+    by piece; any other chunk is encoded by the library as it stands. Caches hold ids as bytes of uint32.
     """
 
     def __init__(self, path: str):
@@ -177,23 +243,24 @@ class Encoder:
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: printable bytes stand for themselves
         rest = [b for b in range(256) if b not in keep]
         self.bytes = {b: b for b in keep} | {b: 256 + k for k, b in enumerate(rest)}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {"": ()}
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {"": b""}
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        got = tuple(t.id for t in self.model.tokenize(text.encode().decode("latin1").translate(self.bytes)))
+    def piece(self, text: str) -> bytes:
+        said = text if text.isascii() else text.encode().decode("latin1").translate(self.bytes)
+        got = array("I", [t.id for t in self.model.tokenize(said)]).tobytes()
         if len(self.pieces) < _CACHE_MOST:
             self.pieces[text] = got
         return got
 
-    def chunk(self, text: str) -> tuple[int, ...]:
-        if not _PLAIN(text):
-            out = tuple(self.whole.encode(text, add_special_tokens=False).ids)
+    def chunk(self, text: str) -> bytes:
+        low = text.lower()
+        if text.isascii() and text.isalpha():
+            out = self.pieces.get(low) or self.piece(low)
+        elif _PLAIN(text) and _LOWERED(low):
+            out = b"".join([self.pieces.get(x) or self.piece(x) for x in _PIECE(low)])
         else:
-            out = ()
-            for x in _PIECE(text.lower()):
-                got = self.pieces.get(x)
-                out += self.piece(x) if got is None else got
+            out = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.chunks) < _CACHE_MOST:
             self.chunks[text] = out
         return out
@@ -201,25 +268,19 @@ class Encoder:
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END after each text, and the number of ids of each text with its END."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        words = split.values.dictionary_encode()
-        index = words.indices.to_numpy()[offsets[0] :]
-        offsets = offsets - offsets[0]
+        words = split.flatten().dictionary_encode()
         get, make = self.chunks.get, self.chunk
-        known = [make(w) if (ids := get(w)) is None else ids for w in words.dictionary.to_pylist()]
-        size = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.fromiter(chain.from_iterable(known), np.uint32, int(size.sum()))
-        begin = np.cumsum(size) - size
-        per_word = size[index]
-        ends = np.concatenate([[0], np.cumsum(per_word)])[offsets]
-        total = int(ends[-1])
-        which = np.repeat(begin[index] - (np.cumsum(per_word) - per_word), per_word)
-        ids = flat[np.arange(total) + which]
+        known = [make(w) if (ids := get(w)) is None else ids for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, known), np.int64, len(known)) // 4)])
+        each = pa.LargeListArray.from_arrays(pa.array(begin), pa.array(np.frombuffer(b"".join(known), np.uint32)))
+        poured = each.take(words.indices)
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        ends = poured.offsets.to_numpy()[offsets - offsets[0]]
         sizes = np.diff(ends) + 1
-        out = np.full(total + len(texts), END, np.uint32)
+        out = np.full(int(ends[-1] - ends[0]) + len(texts), END, np.uint32)
         to = np.ones(len(out), bool)
         to[np.cumsum(sizes) - 1] = False
-        out[to] = ids
+        out[to] = poured.flatten().to_numpy()
         return out, sizes
 
 
@@ -234,47 +295,73 @@ def encoder(path: str) -> Encoder:
 
 # ---- Spark ---------------------------------------------------------------------------------------
 
-FILE_SCHEMA = "part int, block int, doc_ids array<bigint>, n_ids bigint, shard binary"
+#: shards whose texts are encoded together, as each distinct word of them is looked up once
+AT_ONCE = 4
+
+FILE_SCHEMA = "part int, block int, before bigint, doc_ids array<bigint>, n_ids bigint, shard binary"
+
+
+def _lengths(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
 
+def _cut(batches, shard_bytes: int):
+    """(doc_ids, texts) of consecutive rows, cut where the text of a partition passes a multiple of ``shard_bytes``."""
+    ids, texts, done = [], [], 0
+    for batch in batches:
+        upto = done + np.cumsum(_lengths(batch.column(1)))
+        at = 0
+        for to in np.flatnonzero(np.diff(np.concatenate([[done], upto]) // shard_bytes)) + 1:
+            ids.append(batch.column(0).slice(at, to - at))
+            texts.append(batch.column(1).slice(at, to - at))
+            yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+            ids, texts, at = [], [], int(to)
+        if at < batch.num_rows:
+            ids.append(batch.column(0).slice(at))
+            texts.append(batch.column(1).slice(at))
+        done = int(upto[-1]) if len(upto) else done
+    if ids:
+        yield pa.concat_arrays(ids), pa.concat_arrays(texts)
 
-def write_shards(docs: DataFrame, tokenizer_path: str, shard_bytes: int = 2 << 20) -> DataFrame:
-    """Encode ``docs(doc_id, text, ...)`` in ascending doc_id order (nulls first, then by text) and write the shards.
 
-    Texts move once, range-partitioned by doc_id; each partition is sorted and cut into shards of about
-    ``shard_bytes`` of text, so a task holds one shard at a time. Returns the written table, reread.
-    Null and empty texts are one END. An empty table writes no shard.
+def write_shards(docs: DataFrame, tokenizer_path: str, shard_bytes: int = 2 << 20, path: str | None = None) -> DataFrame:
+    """Encode ``docs(doc_id, text, ...)`` in ascending doc_id order (nulls first, ties by a hash of the text) and write the shards.
+
+    They go to ``path``, by default to a table in the shared folder, and are returned reread. Texts move once,
+    range-partitioned by doc_id and hash, so rows that share an id may lie in several partitions; each partition is
+    sorted and cut into shards of about ``shard_bytes`` of text, and a task holds ``AT_ONCE`` of them at a time. A text
+    that is longer ends its shard. Null and empty texts are one END. Repeated rows are written as often as they occur.
+    An empty table writes no shard. Columns other than doc_id and text are not looked at.
     """
 
     def run(batches):
         part = TaskContext.get().partitionId()
         coder = encoder(tokenizer_path)
         free = coder.whole.get_vocab_size()
-        block = 0
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.diff(np.concatenate([[-1], np.cumsum(sizes) // shard_bytes])))
-            edges = sorted({0, *cuts.tolist(), len(ids)})
+        block = before = 0
+        for ids, texts in _cut(batches, AT_ONCE * shard_bytes):
+            out, n = coder.column(texts)
+            upto = np.cumsum(_lengths(texts))
+            edges = sorted({0, *(np.flatnonzero(np.diff(np.concatenate([[0], upto]) // shard_bytes)) + 1).tolist(), len(ids)})
+            tokens = np.concatenate([[0], np.cumsum(n)])
             for lo, hi in zip(edges, edges[1:]):
-                out, n = coder.column(texts.slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())), pa.array([len(out)], pa.int64()), pa.array([pack(out, n, free)], pa.binary())], ["part", "block", "doc_ids", "n_ids", "shard"])
-                block += 1
+                own = out[tokens[lo] : tokens[hi]]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())), pa.array([len(own)], pa.int64()), pa.array([pack(own, n[lo:hi], free)], pa.binary())], ["part", "block", "before", "doc_ids", "n_ids", "shard"])
+                block, before = block + 1, before + len(own)
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange(parts_for(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, FILE_SCHEMA), "token_shards")
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    ordered = rows.repartitionByRange(parts_for(spark), "doc_id", "t").sortWithinPartitions("doc_id", "t").select("doc_id", "text")
+    path = path or f"{scratch_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    save(ordered.mapInArrow(run, FILE_SCHEMA), path)
+    return spark.read.schema(FILE_SCHEMA).parquet(path)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """Per document, from the files: ``doc_id, start, n_tokens, ids_crc32``."""
-    totals = shards.groupBy("part", "block").agg(F.sum("n_ids").alias("n")).withColumn("k", F.struct("part", "block"))
-    by_part = totals.groupBy("part").agg(F.sum("n").alias("n"))
-    # one row a partition: a prefix sum over the partitions, then over the blocks of each partition
-    from pyspark.sql import Window
-
-    before = by_part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    inside = totals.select("part", "block", (F.sum("n").over(Window.partitionBy("part").orderBy("block")) - F.col("n")).alias("own"))
-    starts = inside.join(before, "part").select("part", "block", (F.col("base") + F.col("own")).alias("base"))
+    by_part = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    # one row for each partition that wrote, and so bounded by the number of tasks: it may pass one window and be broadcast
+    base = by_part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
 
     def run(batches):
         for batch in batches:
@@ -286,9 +373,13 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(view[4 * (b - n) : 4 * b]) for b, n in zip(to.tolist(), s.sizes.tolist())]
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(base + to - s.sizes, pa.int64()), pa.array(s.sizes, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.join(starts, ["part", "block"]).select("base", "doc_ids", "shard").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    placed = shards.join(F.broadcast(base), "part").select((F.col("base") + F.col("before")).alias("base"), "doc_ids", "shard")
+    return placed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def token_output(docs: DataFrame, tokenizer_path: str, shard_bytes: int = 2 << 20) -> DataFrame:
-    """Write ``docs`` as token shards and return what the files hold of each document."""
-    return read_shards(write_shards(docs, tokenizer_path, shard_bytes))
+def token_output(docs: DataFrame, tokenizer_path: str, shard_bytes: int = 2 << 20, path: str | None = None) -> DataFrame:
+    """Write ``docs`` as token shards to ``path`` (see ``write_shards``) and return what the files hold of each document.
+
+    One row for each row of ``docs``, with ``doc_id, start, n_tokens, ids_crc32``; a null doc_id stays null.
+    """
+    return read_shards(write_shards(docs, tokenizer_path, shard_bytes, path))
