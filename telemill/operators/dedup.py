@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NEW, DUPLICATE, STALE = 0, 1, 2
@@ -54,27 +54,43 @@ def reset_window(events: DataFrame, resets: DataFrame) -> DataFrame:
     return joined.groupBy(*events.columns).agg(F.count(F.when(before, 1)).alias("epoch"))
 
 
-STATE = "top bigint, mask string, stale array<bigint>"
+STATE = "top bigint, mask string, stale array<bigint>, seen array<bigint>"
+TTL_MS = 48 * 3_600_000
 
 
-def stream_deduplicated(events: DataFrame, keep_stale: bool = False) -> DataFrame:
+def stream_deduplicated(events: DataFrame, keep_stale: bool = False, known: Column | None = None, clock: str = "rx_ts", ttl_ms: int = TTL_MS) -> DataFrame:
     """Stateful form over a stream: state per vehicle is (top, mask) and the exact set of stale numbers.
 
-    Inside a micro-batch rows are taken in arrival order. With ``keep_stale`` stale rows pass as they are.
+    Inside a micro-batch rows are taken in arrival order; a task holds one vehicle's rows of a micro-batch, whose size
+    the source bounds. A stale number is held for ``ttl_ms`` of ``clock``, and for as long after a vehicle's last row, so
+    the state doesn't grow for ever. With ``keep_stale`` stale rows pass as they are. Where ``known`` is given, rows for
+    which it is not true pass unchecked.
     """
     schema = events.schema
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        top, mask, stale = (None, 0, set()) if not state.exists else (state.get[0], int(state.get[1]), set(state.get[2]))
+        top, mask, stale = None, 0, {}
+        if state.exists:
+            held = state.get
+            top, mask, stale = held[0], int(held[1]), dict(zip(held[2], held[3]))
+        if state.hasTimedOut:
+            state.update((top, str(mask), [], []))
+            return
         rows = pd.concat(list(frames)).sort_values(["part", "off"], kind="stable")
         keep = []
-        for seq in rows["seq"].tolist():
+        for seq, now in zip(rows["seq"].tolist(), rows[clock].tolist()):
             outcome, top, mask = window_step(top, mask, int(seq))
             if outcome == STALE and not keep_stale:
-                outcome = DUPLICATE if seq in stale else NEW
-                stale.add(int(seq))
+                outcome = DUPLICATE if stale.get(int(seq), now - ttl_ms - 1) >= now - ttl_ms else NEW
+                if outcome == NEW:
+                    stale[int(seq)] = int(now)
             keep.append(outcome != DUPLICATE)
-        state.update((top, str(mask), sorted(stale)))
+        fresh = rows[clock].max() - ttl_ms
+        stale = {k: t for k, t in stale.items() if t >= fresh}
+        state.update((top, str(mask), list(stale), list(stale.values())))
+        state.setTimeoutDuration(ttl_ms)
         yield rows[pd.Series(keep, index=rows.index)]
 
-    return events.groupBy("vin").applyInPandasWithState(step, schema, STATE, "append", "NoTimeout")
+    checked = events if known is None else events.where(known)
+    out = checked.groupBy("vin").applyInPandasWithState(step, schema, STATE, "append", "ProcessingTimeTimeout")
+    return out if known is None else out.union(events.where(~F.coalesce(known, F.lit(False))))

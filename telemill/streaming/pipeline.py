@@ -9,7 +9,7 @@ from telemill.operators.dedup import stream_deduplicated
 from telemill.operators.normalize import canonical, dead_letters, outcomes
 from telemill.operators.state import alerts, latest_state, merge_state
 from telemill.plans.schema import RAW
-from telemill.sources.archive import consume, write_archive
+from telemill.sources.archive import consume, upsert_once, write_archive
 
 
 def normalizer(spark: SparkSession, topic: str, table, now_ms: int, files_per_batch: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +45,12 @@ class Processor:
         batch.persist()
         try:
             write_archive(batch, f"{self.root}/archive", self.write_ms, batch_id)
-            alerts(batch).write.mode("overwrite").parquet(f"{self.root}/alerts/batch={batch_id}")
+            # an alert that an earlier batch has stored is not stored again; a repeated batch writes the same folder
+            found = alerts(batch)
+            if batch_id:
+                stored = spark.read.parquet(f"{self.root}/alerts").where(F.col("batch") < batch_id)
+                found = upsert_once(stored, found, ("vin", "kind", "ts"))
+            found.write.mode("overwrite").parquet(f"{self.root}/alerts/batch={batch_id}")
             # state n comes from state n - 1, so a repeated batch writes the same table again
             new = latest_state(batch)
             old = f"{self.root}/state/{batch_id - 1}"
