@@ -62,8 +62,9 @@ def stream_deduplicated(events: DataFrame, keep_stale: bool = False, known: Colu
     """Stateful form over a stream: state per vehicle is (top, mask) and the exact set of stale numbers.
 
     Inside a micro-batch rows are taken in arrival order; a task holds one vehicle's rows of a micro-batch, whose size
-    the source bounds. A stale number is held for ``ttl_ms`` of ``clock``, and for as long after a vehicle's last row, so
-    the state doesn't grow for ever. With ``keep_stale`` stale rows pass as they are. Where ``known`` is given, rows for
+    the source bounds. A stale number is held for ``ttl_ms`` of ``clock``, so a vehicle's state holds what came in that
+    time; one that falls silent keeps that until its next row (a processing-time timeout would let a stream that runs
+    over what is available never end). With ``keep_stale`` stale rows pass as they are. Where ``known`` is given, rows for
     which it is not true pass unchecked.
     """
     schema = events.schema
@@ -73,9 +74,6 @@ def stream_deduplicated(events: DataFrame, keep_stale: bool = False, known: Colu
         if state.exists:
             held = state.get
             top, mask, stale = held[0], int(held[1]), dict(zip(held[2], held[3]))
-        if state.hasTimedOut:
-            state.update((top, str(mask), [], []))
-            return
         rows = pd.concat(list(frames)).sort_values(["part", "off"], kind="stable")
         keep = []
         for seq, now in zip(rows["seq"].tolist(), rows[clock].tolist()):
@@ -88,9 +86,8 @@ def stream_deduplicated(events: DataFrame, keep_stale: bool = False, known: Colu
         fresh = rows[clock].max() - ttl_ms
         stale = {k: t for k, t in stale.items() if t >= fresh}
         state.update((top, str(mask), list(stale), list(stale.values())))
-        state.setTimeoutDuration(ttl_ms)
         yield rows[pd.Series(keep, index=rows.index)]
 
     checked = events if known is None else events.where(known)
-    out = checked.groupBy("vin").applyInPandasWithState(step, schema, STATE, "append", "ProcessingTimeTimeout")
+    out = checked.groupBy("vin").applyInPandasWithState(step, schema, STATE, "append", "NoTimeout")
     return out if known is None else out.union(events.where(~F.coalesce(known, F.lit(False))))
