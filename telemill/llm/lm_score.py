@@ -9,7 +9,7 @@ sized to it. Any other word falls into one of at least ``RARE`` hashed entries,
 entry times the word's own share of the entry's tokens in the corpus, so each token is predicted itself. The counts
 of those words stay a table, which is joined; they are never gathered. Training is data-parallel over all tokens of all documents: each task starts from the broadcast
 network, trains on its rows, and sends its parameters; they are averaged on the executors, weighted by tokens,
-first over groups of tasks and then over the groups. Half of the tokens are trained on in each of two rounds.
+in a tree whose every node takes ``FAN_IN`` networks, so no task's memory grows with the number of tasks. Half of the tokens are trained on in each of two rounds.
 """
 
 from __future__ import annotations
@@ -182,17 +182,22 @@ def unflat(values: np.ndarray, like: dict) -> dict[str, np.ndarray]:
     return out
 
 
-def _average(sent: DataFrame, key: str, schema: str) -> DataFrame:
+#: networks that one task averages
+FAN_IN = 64
+
+
+def _average(sent: DataFrame, schema: str) -> DataFrame:
+    """``(part, group, weight, values)`` with the weighted mean of each ``FAN_IN`` neighbouring groups."""
+
     def mean(key_, table):
-        weight, total = 0.0, None
+        weight, total = 0.0, 0.0
         for batch in table.to_batches():
             for w, values in zip(batch.column("weight").to_pylist(), batch.column("values")):
-                x = np.asarray(values.values, np.float32).astype(np.float64) * w
-                total = x if total is None else total + x
+                total = total + np.asarray(values.values, np.float32).astype(np.float64) * w
                 weight += w
         return pa.table({"part": pa.array([key_[0].as_py()], pa.int32()), "group": pa.array([key_[1].as_py()], pa.int32()), "weight": pa.array([weight]), "values": pa.array([(total / weight).astype(np.float32)], pa.list_(pa.float32()))})
 
-    return sent.groupBy("part", key).applyInArrow(mean, schema)
+    return sent.withColumn("group", F.floor(F.col("group") / FAN_IN).cast("int")).groupBy("part", "group").applyInArrow(mean, schema)
 
 
 def train(docs: DataFrame, counts: DataFrame | None = None, rounds: int = 2, rate: float = 1.0, block: int = 8192) -> tuple[np.ndarray, np.ndarray, dict]:
@@ -229,11 +234,13 @@ def train(docs: DataFrame, counts: DataFrame | None = None, rounds: int = 2, rat
             if seen:
                 values, task = flat(own), TaskContext.get().partitionId()
                 for part, a in enumerate(range(0, len(values), block)):
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([task % 64], pa.int32()), pa.array([float(seen)]), pa.array([values[a : a + block]], pa.list_(pa.float32()))], ["part", "group", "weight", "values"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([task], pa.int32()), pa.array([float(seen)]), pa.array([values[a : a + block]], pa.list_(pa.float32()))], ["part", "group", "weight", "values"])
 
         sent = docs.select("text").mapInArrow(run, schema)
-        by_group = written(_average(sent, "group", schema), f"groups{turn}")
-        final = _average(by_group.withColumn("group", F.lit(0)), "group", schema).select("part", "values").collect()  # one network, bounded by SHARE
+        level = written(_average(sent, schema), "average")
+        while (level.agg(F.max("group")).first()[0] or 0) > 0:
+            level = written(_average(level, schema), "average")
+        final = level.select("part", "values").collect()  # one network, bounded by SHARE
         if final:
             net = unflat(np.concatenate([np.asarray(r["values"], np.float32) for r in sorted(final, key=lambda r: r["part"])]), net)
     return words, rank, net
