@@ -1,9 +1,8 @@
 """Secret scan with a trigram inverted index.
 
-Each rule's regex gives a Boolean trigram query: an OR over its mandatory literals of the AND of a literal's
-trigrams. The index holds the postings (trigram, row) of the trigrams that some rule needs, over lower-cased
-texts. Intersecting postings gives each rule's candidate rows, and the regex verifies them. A rule without a
-mandatory trigram scans every row.
+Each rule's whole regex gives a Boolean trigram query (``trigrams``), as an OR of ANDs. The index holds the postings (trigram, row) of the trigrams that some rule needs, over lower-cased
+texts. Intersecting postings gives each rule's candidate rows, and the regex verifies them. A rule whose matches need
+not hold any trigram scans every row.
 """
 
 from __future__ import annotations
@@ -14,21 +13,22 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spans import SPAN, spans
+from ._spans import spans
 from ._store import written
+from .trigrams import ANY, Query, trigram_query
 
 
 @dataclass(frozen=True)
 class Rule:
     kind: str
     pattern: str
-    literals: tuple[str, ...]  # lower-cased alternatives, one of which every match contains; empty if there is none
+    query: Query
     group: int = 0  # the group whose length counts
     least: int = 1
 
 
 def mandatory(pattern: str) -> tuple[str, ...]:
-    """The alternative literals that begin ``pattern``: of its leading group, or its leading literal run.
+    """For reports: the alternative literals that begin ``pattern``, of its leading group or its leading literal run.
 
     Only what is certain is derived: an optional character ends or forks a literal, anything else ends it.
     Literals under three characters give no trigram, and then the rule has none.
@@ -47,7 +47,7 @@ def mandatory(pattern: str) -> tuple[str, ...]:
 
 
 def rule(kind: str, pattern: str, group: int = 0, least: int = 1) -> Rule:
-    return Rule(kind, pattern, mandatory(pattern), group, least)
+    return Rule(kind, pattern, trigram_query(pattern), group, least)
 
 
 BASE_RULES = (
@@ -64,36 +64,27 @@ MORE_RULES = (
 )
 
 
-def _literals(r: Rule) -> tuple[str, ...]:
-    if r.kind == "assign":  # the group is nested once more for case
-        return mandatory("(password|passwd|secret|token|api_?key)")
-    return r.literals
-
-
-def _trigrams(literal: str) -> list[str]:
-    return [literal[k : k + 3] for k in range(len(literal) - 2)]
-
-
 def candidates(keyed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``(doc_key, rules)``: for each row key of ``keyed(doc_key, text)`` the numbers of the indexed rules that its postings allow."""
-    clauses = [(k, sorted(set(_trigrams(x)))) for k, r in enumerate(rules) for x in _literals(r)]
+    """``(doc_id, doc_key, rules)``: for each row key of ``keyed(doc_id, doc_key, text)`` the numbers of the indexed rules that its postings allow."""
+    clauses = [(k, sorted(clause)) for k, r in enumerate(rules) if r.query != ANY for clause in r.query]
     needed = sorted({t for _, ts in clauses for t in ts})
     low = F.lower("text")
     held = F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(k)) for k, t in enumerate(needed)])
-    postings = keyed.select("doc_key", F.explode(F.array_compact(held)).alias("trigram")).distinct()
+    postings = keyed.select("doc_id", "doc_key", F.explode(F.array_compact(held)).alias("trigram")).distinct()
     number = {t: k for k, t in enumerate(needed)}
     # every clause counts the postings it needs: an AND is a full count, an OR is any clause of the rule
     counts = [F.count(F.when(F.col("trigram").isin([number[t] for t in ts]), 1)) == len(ts) for _, ts in clauses]
-    met = postings.groupBy("doc_key").agg(F.array_compact(F.array(*[F.when(c, F.lit(k)) for c, (k, _) in zip(counts, clauses)])).alias("rules"))
-    return met.where(F.size("rules") > 0).select("doc_key", F.array_distinct("rules").alias("rules"))
+    met = postings.groupBy("doc_id", "doc_key").agg(F.array_compact(F.array(*[F.when(c, F.lit(k)) for c, (k, _) in zip(counts, clauses)])).alias("rules"))
+    return met.where(F.size("rules") > 0).select("doc_id", "doc_key", F.array_distinct("rules").alias("rules"))
 
 
 def secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """Per row of ``docs(doc_id, text, ...)``: ``doc_id, found`` = array of (start, kind number, end, kind), in order.
 
     Positions are code points, end exclusive; each kind's matches are leftmost and non-overlapping, and a match whose
-    counted group is too short is dropped. Null texts count as empty. Rows are told apart by doc_id and text, so
-    repeated rows repeat their results, and a null doc_id is kept. An empty table gives an empty result.
+    counted group is too short is dropped. Spans of one start are in the order of the rules. Null texts count as empty,
+    very long ones are scanned whole. Rows are told apart by doc_id and a hash of the text, so repeated rows repeat their
+    results, and a null doc_id is kept. An empty table gives an empty result. Other columns are not looked at.
     """
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text")).withColumn("doc_key", F.xxhash64("doc_id", "text"))
@@ -110,11 +101,15 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES)
         parts = [matches(F.col("text") if allowed is None else F.when(F.array_contains(allowed, k), F.col("text")).otherwise(""), k) for k in numbers]
         return F.concat(*parts) if parts else F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>")
 
-    indexed = [k for k, r in enumerate(rules) if _literals(r)]
-    scanned = [k for k in range(len(rules)) if k not in indexed]
-    allowed = written(candidates(keyed, tuple(r if k in indexed else Rule(r.kind, r.pattern, ()) for k, r in enumerate(rules))), "candidates")
-    whole = keyed.select("doc_id", "doc_key", verified(scanned).alias("scanned"))
-    picked = keyed.select("doc_key", "text").join(allowed, "doc_key")
-    looked = picked.select("doc_key", verified(indexed, F.col("rules")).alias("looked")).dropDuplicates(["doc_key"])
+    indexed = [k for k, r in enumerate(rules) if r.query != ANY]
+    scanned = [k for k, r in enumerate(rules) if r.query == ANY]
+    allowed = written(candidates(keyed, rules), "candidates") if indexed else None
     none = F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>")
-    return whole.join(looked, "doc_key", "left").select("doc_id", F.array_sort(F.concat("scanned", F.coalesce("looked", none))).alias("found"))
+    whole = keyed.select("doc_id", "doc_key", verified(scanned).alias("scanned"))
+    if allowed is None:
+        return whole.select("doc_id", F.array_sort("scanned").alias("found"))
+    named = allowed.select(F.col("doc_id").alias("own_id"), F.col("doc_key").alias("own_key"), "rules")
+    same = (F.col("doc_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
+    picked = keyed.join(named, same).select("own_id", "own_key", verified(indexed, F.col("rules")).alias("looked"))
+    looked = picked.dropDuplicates(["own_id", "own_key"])
+    return whole.join(looked, same, "left").select("doc_id", F.array_sort(F.concat("scanned", F.coalesce("looked", none))).alias("found"))
