@@ -71,7 +71,7 @@ _ROW = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string,
 def with_next(docs: DataFrame) -> DataFrame:
     """Fingerprint every row of ``docs(doc_id, text, ...)`` and its text edited with the next document's.
 
-    Order: descending doc_id, nulls last, ties by text. Texts move once, range-partitioned; inside a
+    Order: descending doc_id, nulls last, ties by a hash of the text. Texts move once, range-partitioned; inside a
     partition a task streams over its sorted rows and holds one batch. Only the first and the last row
     of each partition keep their text, and are completed by joining each last row to the first row of
     the next partition that has rows.
@@ -109,9 +109,10 @@ def with_next(docs: DataFrame) -> DataFrame:
         if texts:
             yield rows(1, "last", None, None)
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     by = F.col("doc_id").desc_nulls_last()
-    ordered = rows.repartitionByRange(parts_for(spark), by).sortWithinPartitions(by, "text")
+    # rows that share an id are spread by the hash of their text
+    ordered = rows.repartitionByRange(parts_for(spark), by, "t").sortWithinPartitions(by, "t").select("doc_id", "text")
     return written(ordered.mapInArrow(run, _ROW), "fingerprints")
 
 
