@@ -17,9 +17,15 @@ MARK = "TMLL7"
 SYSTEMS = {"P": "powertrain", "C": "chassis", "B": "body", "U": "network"}
 
 
-def check_digit(vin: Column) -> Column:
-    """Expected ninth character. The sum is unrolled, so it stays inside whole-stage codegen."""
-    digits = F.translate(vin, LETTERS, VALUES)
+def vin_digits(vin: Column) -> Column:
+    """Letters of a number as their digits."""
+    return F.translate(vin, LETTERS, VALUES)
+
+
+def check_digit(vin: Column, digits: Column | None = None) -> Column:
+    """Expected ninth character. The sum is unrolled, so it stays inside whole-stage codegen; ``digits`` is a column that holds
+    ``vin_digits`` already, as they are used for every place."""
+    digits = vin_digits(vin) if digits is None else digits
     total = None
     for k, weight in enumerate(WEIGHTS):
         if weight:
@@ -29,9 +35,9 @@ def check_digit(vin: Column) -> Column:
     return F.when(rest == 10, "X").otherwise(rest.cast("string"))
 
 
-def is_valid_vin(vin: Column) -> Column:
+def is_valid_vin(vin: Column, digits: Column | None = None) -> Column:
     shaped = F.when(vin.rlike(VIN_PATTERN) & (F.length(vin) == 17), vin)
-    return F.coalesce(F.substring(shaped, 9, 1) == check_digit(shaped), F.lit(False))
+    return F.coalesce(F.substring(shaped, 9, 1) == check_digit(shaped, digits), F.lit(False))
 
 
 def with_check_digit(vin: Column) -> Column:

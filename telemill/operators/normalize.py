@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemill.operators.lineage import stored
 from telemill.plans.compile import ERROR
 from telemill.plans.route import Routes
 from telemill.plans.schema import CANONICAL, FIELDS, MAX_PAYLOAD
@@ -54,8 +55,11 @@ def first_of_key(events: DataFrame) -> DataFrame:
 
 
 def normalize(raw: DataFrame, table: dict[str, Routes], now_ms: int) -> Normalized:
-    """Batch form. De-duplication runs on the mapped events, so a dead letter uses up no sequence number."""
-    out = outcomes(raw, table)
+    """Batch form. De-duplication runs on the mapped events, so a dead letter uses up no sequence number.
+
+    The outcomes are written once, as events, dead letters and duplicates are all made from them.
+    """
+    out = stored(outcomes(raw, table))
     ranked = first_of_key(canonical(out, now_ms))
     return Normalized(ranked.where("copy = 1").drop("copy"), dead_letters(out, now_ms), ranked.where("copy > 1").drop("copy"))
 

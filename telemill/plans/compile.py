@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.values import MAX_TRANSFORMS, SpecError, Value, apply, coerce
-from telemill.functions.vehicle import DTC_PATTERN, is_valid_vin
+from telemill.functions.vehicle import DTC_PATTERN, is_valid_vin, vin_digits
 from telemill.plans.schema import BY_NAME, CANONICAL, EVENT_TYPES, FIELDS, MAX_PAYLOAD, REQUIRED
 from telemill.sources.decoders import decode, parse_path
 
@@ -19,11 +19,11 @@ def _error(reason: str, field: str, detail) -> Column:
     return F.struct(F.lit(reason).alias("reason"), F.lit(field).alias("field"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"))
 
 
-def validate(event: dict[str, Column]) -> Column:
+def validate(event: dict[str, Column], digits: Column | None = None) -> Column:
     """First fault of a canonical event as ``struct(reason, field)``, or null: missing, vin, ranges in order, codes, event type."""
     fault = lambda reason, field: F.struct(F.lit(reason).alias("reason"), F.lit(field).alias("field"))
     ladder = [F.when(event[n].isNull(), fault("MISSING_REQUIRED", n)) for n in REQUIRED]
-    ladder.append(F.when(~is_valid_vin(event["vin"]), fault("INVALID_VIN", "vin")))
+    ladder.append(F.when(~is_valid_vin(event["vin"], digits), fault("INVALID_VIN", "vin")))
     for f in FIELDS:
         if f.low is not None:
             x = event[f.name]
@@ -71,7 +71,8 @@ class Spec:
             stage |= {f"{at}a_{name}": absent, f"{at}b_{name}": ~absent & v.bad, f"{at}f_{name}": F.when(~absent, v.col).cast(CANONICAL[name].dataType)}
         rows = rows.withColumns(stage)
         event = {f.name: F.col(f"{at}f_{f.name}") if f.name in raws else F.lit(None).cast(CANONICAL[f.name].dataType) for f in FIELDS}
-        rows = rows.withColumn(f"{at}wrong", validate(event))
+        rows = rows.withColumn(f"{at}digits", vin_digits(event["vin"]))
+        rows = rows.withColumn(f"{at}wrong", validate(event, F.col(f"{at}digits")))
         faults = [F.when(F.length(payload) > MAX_PAYLOAD, _error("OVERSIZE", "", F.concat(F.length(payload).cast("string"), F.lit(" bytes")))), F.when(got.bad, _error("DECODE_ERROR", got.field, got.detail))]
         for name, path, _ in self.fields:
             # a transform may give null: absent for an optional field, and INVALID for a required one
