@@ -301,7 +301,7 @@ def _versions(pct):
 def _fallback(spark, d):
     raw = fixtures.raw_records(spark, d, ("pipe",), False)
     text_ = F.col("value").cast("string")
-    old = F.split(text_, "\\|")[3].cast("bigint") % 4 == 0
+    old = F.split(text_, "\\|")[fixtures.PIPE_COLUMNS.index("no")].cast("bigint") % 4 == 0
     raw = raw.withColumn("value", F.encode(F.when(old, F.replace(text_, F.lit("|"), F.lit(";"))).otherwise(text_), "UTF-8"))
     out = normalize.outcomes(raw, _versions(0)).where("error is null")
     return out.select("event.seq", "version", "attempt")
