@@ -48,10 +48,10 @@ def deduplicated(events: DataFrame) -> DataFrame:
 
 def reset_window(events: DataFrame, resets: DataFrame) -> DataFrame:
     """Events with ``epoch``: how many resets of their vehicle came before, so a restarted counter starts anew."""
-    marks = resets.select("vin", F.col("part").alias("r_part"), F.col("off").alias("r_off"))
-    joined = events.join(marks, "vin", "left")
-    before = (F.col("r_part") < F.col("part")) | ((F.col("r_part") == F.col("part")) & (F.col("r_off") <= F.col("off")))
-    return joined.groupBy(*events.columns).agg(F.count(F.when(before, 1)).alias("epoch"))
+    marks = resets.select("vin", "part", "off", F.lit(1).alias("_reset"))
+    both = events.withColumn("_reset", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    upto = Window.partitionBy("vin").orderBy("part", "off", F.desc("_reset")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("epoch", F.sum("_reset").over(upto)).where("_reset = 0").drop("_reset")
 
 
 STATE = "top bigint, mask string, stale array<bigint>, seen array<bigint>"
