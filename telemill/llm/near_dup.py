@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Scratch, parts_for
-from ._words import blocks, mix, shingles
+from ._words import blocks, mix, shingles, tidied
 from .components import merged
 
 STARS = 2
@@ -83,7 +83,7 @@ def signatures(docs: DataFrame, width: int, tables: int, rows: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + hi - lo)), batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sizes, pa.int64()), *[pa.array(x.view(np.int64)) for x in wide]], ["row", "doc_id", "t", "n", "hi", "lo", *keys])
                 row += hi - lo
 
-    return _content(docs).mapInArrow(run, "row bigint, doc_id bigint, t bigint, n bigint, hi bigint, lo bigint, " + ", ".join(f"{k} bigint" for k in keys))
+    return _content(docs).mapInArrow(tidied(run), "row bigint, doc_id bigint, t bigint, n bigint, hi bigint, lo bigint, " + ", ".join(f"{k} bigint" for k in keys))
 
 
 def folded_bits(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -105,7 +105,7 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
                 bits = folded_bits(sets, to).T
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(sets.view(np.int64))), *[pa.array(x.view(np.int64)) for x in bits]], ["id", "s", *_WORDS])
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, s array<bigint>, " + ", ".join(f"{b} bigint" for b in _WORDS))
+    return texts.select("id", "text").mapInArrow(tidied(run), "id bigint, s array<bigint>, " + ", ".join(f"{b} bigint" for b in _WORDS))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import parts_for, save, scratch_dir
-from ._words import mix
+from ._words import mix, tidied, tidy
 
 MAGIC = b"RPG1"
 END = 1
@@ -348,12 +348,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_bytes: int = 2 << 2
                 own = out[tokens[lo] : tokens[hi]]
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())), pa.array([len(own)], pa.int64()), pa.array([pack(own, n[lo:hi], free)], pa.binary())], ["part", "block", "before", "doc_ids", "n_ids", "shard"])
                 block, before = block + 1, before + len(own)
+            tidy()
 
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     ordered = rows.repartitionByRange(parts_for(spark), "doc_id", "t").sortWithinPartitions("doc_id", "t").select("doc_id", "text")
     path = path or f"{scratch_dir(spark)}/token-shards-{uuid.uuid4().hex}"
-    save(ordered.mapInArrow(run, FILE_SCHEMA), path)
+    save(ordered.mapInArrow(tidied(run), FILE_SCHEMA), path)
     return spark.read.schema(FILE_SCHEMA).parquet(path)
 
 
@@ -374,7 +375,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(base + to - s.sizes, pa.int64()), pa.array(s.sizes, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = shards.join(F.broadcast(base), "part").select((F.col("base") + F.col("before")).alias("base"), "doc_ids", "shard")
-    return placed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return placed.mapInArrow(tidied(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, shard_bytes: int = 2 << 20, path: str | None = None) -> DataFrame:

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._words import LETTERS, blocks
+from ._store import written
+from ._words import LETTERS, blocks, tidied, tidy
 
 #: at most so many labelled rows are fitted on, chosen by a hash of doc_id; scoring covers every row
 FIT_ROWS = 8_000
@@ -27,6 +28,9 @@ FIT_ROWS = 8_000
 #: bytes of the prefixes that count as features beside the whole word
 STEMS = (4, 5, 6, 7)
 
+#: a feature needs so many rows, and at the start so large a part of the penalty as pull; the L1 penalty itself
+LEAST_DF, SCREEN, PENALTY = 5, 0.25, 1e-3
+
 _DAMP = 10
 _SLOTS = 1 << 22
 
@@ -77,7 +81,13 @@ def _common(rows: list[tuple[np.ndarray, np.ndarray]], least_df: int) -> np.ndar
     return words[(df >= least_df) & (df <= 0.5 * len(rows))]
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int = 3, least_df: int = 5, penalty: float = 1e-3, rounds: int = 200) -> OrdinalModel:
+def base_rates(grades: np.ndarray, n_grades: int = 3) -> np.ndarray:
+    """Share of the rows above each threshold that the grades reach."""
+    k = max(1, min(n_grades - 1, int(grades.max())))
+    return np.clip((grades[:, None] > np.arange(k)[None, :]).mean(0), 1e-4, 1 - 1e-4)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int = 3, least_df: int = LEAST_DF, penalty: float = PENALTY, rounds: int = 200) -> OrdinalModel:
     """Accelerated proximal gradient on the mean cumulative-link loss; ``rows`` are distinct features of a text and their values."""
     grades = np.asarray(grades)
     highest = int(grades.max()) if len(grades) else 0
@@ -96,11 +106,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     row, col, value = np.concatenate(row), np.concatenate(col), np.concatenate(value).astype(float)
     n, m = len(rows), len(words)
     y = (grades[:, None] > np.arange(k)[None, :]).astype(float)
-    rate = np.clip(y.mean(0), 1e-4, 1 - 1e-4)
+    rate = base_rates(grades, n_grades)
     t = -np.log(rate / (1 - rate))
     # features that pull towards a weight by far less than the penalty at the start would stay at zero
     pull = np.bincount(col, weights=value * (y - rate).sum(1)[row], minlength=m) / n
-    stay = pull >= 0.25 * penalty
+    stay = pull >= SCREEN * penalty
     number = np.cumsum(stay) - 1
     inside = stay[col]
     words, row, col, value, m = words[stay], row[inside], number[col[inside]], value[inside], int(stay.sum())
@@ -165,18 +175,37 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
             for lo, hi, words, values in features(batch.column(2)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(words, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float32()))], ["doc_id", "grade", "words", "values"])
 
-    # fit_rows bounds the broadcast side and the documents that come to the driver
+    # fit_rows bounds the broadcast side
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
-    rows = picked.mapInArrow(run, "doc_id bigint, grade int, words array<bigint>, values array<float>").groupBy("doc_id", "grade").agg(F.min(F.struct("words", "values")).alias("x")).select("doc_id", "grade", "x.words", "x.values").toArrow().combine_chunks()
-    words, values = (rows.column(c).chunk(0) if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in ("words", "values"))
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")  # the fit does not depend on the order of arrival
+    rows = picked.mapInArrow(tidied(run), "doc_id bigint, grade int, words array<bigint>, values array<float>").groupBy("doc_id", "grade").agg(F.min(F.struct("words", "values")).alias("x")).select("doc_id", "grade", "x.words", "x.values")
+    rows = written(rows, "labelled")
+    counts = {r.grade: r.n for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}  # one row a grade
+    if max(counts, default=0) == 0:
+        return fit([], np.zeros(0, int))
+    held = _screened(rows, counts).toArrow()
+    order = np.argsort(held.column("doc_id").to_numpy(), kind="stable")  # the fit does not depend on the order of arrival
+    words, values = held.column("words"), held.column("values")
     sets = [(np.asarray(words[k].values, np.int64).view(np.uint64), np.asarray(values[k].values, np.float32)) for k in order.tolist()]
-    model = fit(sets, rows.column("grade").to_numpy()[order].astype(int))
-    del rows, words, values, sets
-    pa.default_memory_pool().release_unused()
+    model = fit(sets, held.column("grade").to_numpy()[order].astype(int))
+    del held, words, values, sets
+    tidy()
     return model
 
 
+def _screened(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``rows(doc_id, grade, words, values)`` with those features only that the fit would start with, so few come to the driver."""
+    n = sum(counts.values())
+    rates = base_rates(np.repeat(list(counts), list(counts.values())))
+    weight = F.element_at(F.create_map(*[x for g in counts for x in (F.lit(g), F.lit(float(sum((g > k) - r for k, r in enumerate(rates)))))]), F.col("grade"))
+    each = rows.select("doc_id", "grade", F.explode(F.arrays_zip("words", "values")).alias("x")).select("doc_id", "grade", F.col("x.words").alias("word"), F.col("x.values").alias("value"))
+    kept = each.groupBy("word").agg(F.count("*").alias("df"), F.sum(F.col("value") * weight).alias("pull"))
+    kept = written(kept.where((F.col("df") >= LEAST_DF) & (F.col("df") <= 0.5 * n) & (F.col("pull") / n >= 0.9 * SCREEN * PENALTY)).select("word"), "features")
+    own = each.join(kept, "word").groupBy("doc_id", "grade").agg(F.array_sort(F.collect_list(F.struct("word", "value"))).alias("x"))
+    none = F.array().cast("array<struct<word:bigint,value:float>>")
+    full = rows.select("doc_id", "grade").join(own, ["doc_id", "grade"], "left").withColumn("x", F.coalesce("x", none))
+    return full.select("doc_id", "grade", F.transform("x", lambda y: y["word"]).alias("words"), F.transform("x", lambda y: y["value"]).alias("values"))
+
+
 def _shared(spark: SparkSession, model: OrdinalModel):
     return spark.sparkContext.broadcast((model.words, model.weights, model.thresholds))
 
@@ -196,7 +225,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, cutoff: float = 0.25) -
             above = own.above(own.scores(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(above[:, -1]), pa.array(above[:, 0] >= cutoff)], ["doc_id", "severity", "p_toxic", "p_severe", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, severity double, p_toxic double, p_severe double, toxic boolean")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id bigint, severity double, p_toxic double, p_severe double, toxic boolean")
 
 
 def is_toxic(spark: SparkSession, text: Column, model: OrdinalModel, cutoff: float = 0.25) -> Column:
@@ -207,6 +236,7 @@ def is_toxic(spark: SparkSession, text: Column, model: OrdinalModel, cutoff: flo
         own = OrdinalModel(*shared.value)
         for x in texts:
             yield pa.array(own.above(own.scores(x))[:, 0] >= cutoff)
+        tidy()
 
     return F.arrow_udf(run, "boolean")(text)
 
