@@ -159,7 +159,8 @@ def within_radius(queries: DataFrame, points: DataFrame, radius: int = 6, n_bloc
     same = [block(dh, dl, k) == 0 for k in range(n_blocks)]
     first_table = F.coalesce(*[F.when(same[i] & same[j], F.lit(t)) for t, (i, j) in enumerate(tables)])
     close = F.bit_count(dh) + F.bit_count(dl) <= radius
-    met = q.join(p, [q.slot == p.slot, close, first_table == F.shiftrightunsigned(q.slot, 2 * width)])
+    # sizes are estimated without the explode's factor of len(tables), so Spark would broadcast sides of many times its threshold
+    met = q.join(p.hint("merge"), [q.slot == p.slot, close, first_table == F.shiftrightunsigned(q.slot, 2 * width)])
     return met.groupBy(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")).agg(F.sum("n").alias("n_within"))
 
 

@@ -268,6 +268,21 @@ def test_fingerprints_of_repeated_ids(spark):
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
 
 
+def test_search_tables_are_not_broadcast(spark):
+    draw = random.Random(3)
+    base = [draw.getrandbits(128) for _ in range(60)]
+    near = [b ^ sum(1 << k for k in draw.sample(range(128), n)) for b in base for n in (1, 5, 6, 7, 9)]
+    count = {x: k % 3 + 1 for k, x in enumerate(dict.fromkeys(base + near))}
+    signed = lambda x: (x - (1 << 64) if x >> 63 else x)
+    halves = lambda x: (signed(x >> 64), signed(x & (1 << 64) - 1))
+    points = spark.createDataFrame([(*halves(x), n) for x, n in count.items()], "hi long, lo long, n long")
+    found = simhash.within_radius(spark.createDataFrame([halves(x) for x in base], "hi long, lo long"), points)
+    got = {(r.hi, r.lo): r.n_within for r in found.collect()}
+    assert got == {halves(x): sum(n for y, n in count.items() if (x ^ y).bit_count() <= 6) for x in base}
+    # an exploded table is len(tables) times what Spark takes it for: it goes through no driver, however small it seems
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # ---- op9
 
 
