@@ -268,13 +268,14 @@ class Encoder:
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END after each text, and the number of ids of each text with its END."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
-        words = split.flatten().dictionary_encode()
+        offsets, words = split.offsets.to_numpy().astype(np.int64), split.flatten().dictionary_encode()
+        del split  # a batch is large: what is no longer needed goes at once
         get, make = self.chunks.get, self.chunk
         known = [make(w) if (ids := get(w)) is None else ids for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
         begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, known), np.int64, len(known)) // 4)])
         each = pa.LargeListArray.from_arrays(pa.array(begin), pa.array(np.frombuffer(b"".join(known), np.uint32)))
         poured = each.take(words.indices)
-        offsets = split.offsets.to_numpy().astype(np.int64)
+        del known, begin, each, words
         ends = poured.offsets.to_numpy()[offsets - offsets[0]]
         sizes = np.diff(ends) + 1
         out = np.full(int(ends[-1] - ends[0]) + len(texts), END, np.uint32)
@@ -296,7 +297,7 @@ def encoder(path: str) -> Encoder:
 # ---- Spark ---------------------------------------------------------------------------------------
 
 #: shards whose texts are encoded together, as each distinct word of them is looked up once
-AT_ONCE = 4
+AT_ONCE = 8
 
 FILE_SCHEMA = "part int, block int, before bigint, doc_ids array<bigint>, n_ids bigint, shard binary"
 
